@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, sharding
-from .common import table
+from . import bpe, chat, langid, quality_rules, sharding
+from .common import Work, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -23,6 +24,7 @@ def query(sql: str | None = None):
 
 
 SHARDS = 24
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 @query()
@@ -99,3 +101,34 @@ def _rules_sql() -> str:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against thresholds of their language and source."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids of the public 50k vocabulary, and back."""
+    path = public_tokenizers.path(VOCABULARY)
+    return bpe_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+
+
+def remainder(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query()
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; every third document, by checksum, is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    models = langid.fit(docs.where(~F.col("held_out")))
+    found = Work(spark).put(langid.identify(docs, models, keep=("held_out",)), "found")
+    return langid.with_rejection(found, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
