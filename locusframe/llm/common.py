@@ -8,8 +8,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; texts can be long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch; texts can be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the rows of each Arrow batch, and so the memory of a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Work:
@@ -86,12 +87,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """Hashes of any ranges of a byte array, equal for equal bytes, from prefix sums of a polynomial modulo 2^64."""
+    """Hashes of any ranges of bytes or of 64-bit values, equal for equal ranges, from prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=self.sums[1:])
+        values = BYTE_VALUES[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] ^ (end - start).astype(_U))
@@ -135,3 +137,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
 
 
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+#: Lower-case forms of ASCII bytes; letters of U+00C0 to U+00DE are lowered by their second byte.
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+
+def lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes with letters of ASCII and Latin-1 in lower case, and a mark at each byte that starts a capital."""
+    capital = (data >= 65) & (data <= 90)
+    out = _LOWER[data]
+    if len(data) > 1:
+        second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][second] += 32
+        capital[:-1] |= second
+    return out, capital
+
+
+def grouped(sizes: list[int], most: int):
+    """Slices of consecutive rows whose sizes add up to most or less; a larger row is alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))

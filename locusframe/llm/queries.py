@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality_rules, sharding
+from . import bpe, chat, decontam, langid, quality_rules, sharding
 from .common import Work, table
 
 QUERIES: dict = {}
@@ -132,3 +132,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = langid.fit(docs.where(~F.col("held_out")))
     found = Work(spark).put(langid.identify(docs, models, keep=("held_out",)), "found")
     return langid.with_rejection(found, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of a benchmark item, as it stands or with other numbers, names and units."""
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), " ").alias("item_ids"), "matched_words", "reparameterised")
