@@ -20,9 +20,10 @@ from .common import arrow_batches, mix
 
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 LONGEST = WIDTHS[-1]
-NONE = np.int64(1 << 40)
+WIDTH_OF = [next(w for w in WIDTHS if w >= n) for n in range(LONGEST + 1)]
+NONE, EMPTY = np.int32((1 << 31) - 1), np.uint64((1 << 64) - 1)
 #: Pieces that a worker remembers, and characters or pieces that it takes at a time.
-REMEMBERED, AT_A_TIME = 400_000, 200_000
+REMEMBERED, AT_A_TIME = 250_000, 50_000
 
 
 class PairTable:
@@ -33,10 +34,10 @@ class PairTable:
         self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.mask, self.reach = size - 1, 0
-        self.keys, self.ranks = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF)), np.full(size, NONE)
+        self.keys, self.ranks = np.full(size, EMPTY), np.full(size, NONE)
         todo, at = np.arange(len(keys)), self._home(keys)
         while len(todo):
-            free = self.keys[at] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            free = self.keys[at] == EMPTY
             slots, first = np.unique(at[free], return_index=True)
             won = np.flatnonzero(free)[first]
             self.keys[slots], self.ranks[slots] = keys[todo[won]], rank[todo[won]]
@@ -61,7 +62,7 @@ class PairTable:
             there = self.keys[at]
             hit = there == keys[todo]
             flat[todo[hit]] = self.ranks[at[hit]]
-            going = ~hit & (there != np.uint64(0xFFFFFFFFFFFFFFFF))
+            going = ~hit & (there != EMPTY)
             todo, at = todo[going], at[going] + 1 & self.mask
         return flat.reshape(out.shape)
 
@@ -74,7 +75,7 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(self.ranks[a], self.ranks[b], rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := token[:i]) in self.ranks and (b := token[i:]) in self.ranks]
         self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
         self.lengths = np.array([len(x) for x in self.bytes_of], np.int64)
@@ -91,7 +92,7 @@ class Vocabulary:
             elif len(piece) > LONGEST:
                 out[i] = self._by_heap(piece)
             elif piece:
-                buckets.setdefault(next(w for w in WIDTHS if w >= len(piece)), []).append(i)
+                buckets.setdefault(WIDTH_OF[len(piece)], []).append(i)
         for width, rows in buckets.items():
             step = max(1, AT_A_TIME // width)
             for k in range(0, len(rows), step):
@@ -104,7 +105,7 @@ class Vocabulary:
         sizes = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         column = np.arange(width)
-        ids = np.where(column < sizes[:, None], self.single[raw], -1)
+        ids = np.where(column < sizes[:, None], self.single[raw], np.int32(-1))
         ranks = self.pairs(ids[:, :-1], ids[:, 1:])
         row_of, out = np.arange(len(pieces)), [[]] * len(pieces)
         while len(row_of):
@@ -120,11 +121,11 @@ class Vocabulary:
             rows = np.arange(len(at))
             ids[rows, at] = best
             gap = column[None, : ids.shape[1] - 1] > at[:, None]
-            ids = np.concatenate([np.where(gap, ids[:, 1:], ids[:, :-1]), np.full((len(at), 1), -1)], axis=1)
+            ids = np.concatenate([np.where(gap, ids[:, 1:], ids[:, :-1]), np.full((len(at), 1), -1, np.int32)], axis=1)
             gap = gap[:, : ranks.shape[1]]
             shifted = np.concatenate([ranks[:, 1:], np.full((len(at), 1), NONE)], axis=1)
             ranks = np.where(gap, shifted, ranks)
-            right = np.where(at + 1 < ids.shape[1], ids[rows, np.minimum(at + 1, ids.shape[1] - 1)], -1)
+            right = np.where(at + 1 < ids.shape[1], ids[rows, np.minimum(at + 1, ids.shape[1] - 1)], np.int32(-1))
             here = at < ranks.shape[1]
             ranks[rows[here], at[here]] = self.pairs(best[here], right[here])
             back = at > 0
@@ -168,17 +169,31 @@ class Vocabulary:
 
 
 class _Worker:
+    """Known pieces by number; the ids of piece k are flat[starts[k] : starts[k] + counts[k]]."""
+
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         import regex
 
-        self.pattern, self.vocabulary, self.known = regex.compile(pattern), vocabulary, {}
+        self.pattern, self.vocabulary = regex.compile(pattern), vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, pieces) -> None:
-        new = [p for p in set(pieces) if p not in self.known]
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set(pieces))
-        self.known.update(zip(new, (tuple(x) for x in self.vocabulary.encode_pieces([p.encode() for p in new])), strict=True))
+            self._forget()
+            new = list(pieces)
+        if not new:
+            return
+        ids = self.vocabulary.encode_pieces([p.encode() for p in new])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, counts.sum())])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; long texts are taken in runs of pieces."""
@@ -200,9 +215,13 @@ class _Worker:
         return out + self._together(waiting)
 
     def _together(self, texts: list[list[str]]) -> list[np.ndarray]:
-        self._learn(chain.from_iterable(texts)) if len(texts) == 1 else self._learn([p for t in texts for p in t])
-        known = self.known
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, t)), np.int32) for t in texts]
+        self._learn(set(chain.from_iterable(texts)))
+        lengths = [len(t) for t in texts]
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, sum(lengths))
+        counts = self.counts[which]
+        ends = np.cumsum(counts)
+        ids = self.flat[np.repeat(self.starts[which] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(lengths)[:-1]]) if texts else []
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -220,24 +239,33 @@ def _shared(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not depend on the input
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
     """(key, ids): the ids of each whole text by the ranks in the file at path, each match of pattern on its own, no special tokens.
 
     Null and empty texts have no ids; a null key stays null; repeated rows are encoded alike; an empty table gives no rows;
-    further columns are not read. Pieces are remembered by each worker up to REMEMBERED, then forgotten.
+    further columns are not read. Pieces are remembered by each worker up to REMEMBERED, then forgotten. With back the same
+    workers also decode the ids, as decode() does, and decoded is one more column.
     """
     lines = _shared(docs, path)
     arrow_batches(docs.sparkSession)
 
     def run(batches):
-        worker = _Worker(_vocabulary(path, lines), pattern)
+        vocabulary = _vocabulary(path, lines)
+        worker = _Worker(vocabulary, pattern)
         for batch in batches:
             ids = worker.ids([x or "" for x in batch.column(1).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))], [key, "ids"])
+            columns = [batch.column(0), _lists(ids)]
+            if back:
+                columns.append(pa.array([vocabulary.decode(x).tobytes() for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>" + ", decoded binary" * back)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

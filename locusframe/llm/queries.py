@@ -116,7 +116,7 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids of the public 50k vocabulary, and back."""
     path = public_tokenizers.path(VOCABULARY)
-    return bpe_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+    return bpe_digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, back=True))
 
 
 def remainder(divisor: int):
