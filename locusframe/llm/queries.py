@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality_rules, sharding
+from . import bpe, chat, decontam, langid, neardup, quality_rules, sharding, suffixes
 from .common import Work, table
 
 QUERIES: dict = {}
@@ -139,3 +139,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of a benchmark item, as it stands or with other numbers, names and units."""
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), " ").alias("item_ids"), "matched_words", "reparameterised")
+
+
+@query()
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least doc_id of its class of exact and near copies."""
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that also start earlier."""
+    out = suffixes.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", suffixes.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
