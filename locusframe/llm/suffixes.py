@@ -23,8 +23,8 @@ from .common import RangeHash, Work, arrow_batches, grouped, mix, text_bytes
 MATCH, GRAM = 100, 24
 REACH = MATCH - GRAM + 1
 BATCHES = 3
-#: From so many different runs of a key on, its strings are dealt one by one.
-HOT = 2000
+#: Strings of keys with more different runs than this are dealt one by one, so no key is compared in one task.
+HOT = 16
 CHUNK = 1 << 19
 FIRST = -(1 << 63)
 _U = np.uint64
@@ -258,9 +258,10 @@ def repeated(rows: DataFrame, work: Work, batches: int = BATCHES, hot: int = HOT
     entries = family.entries()
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("many"))
     edges = work.put(entries.join(shared, "key").select("key", "place", "many"), "edges")
+    work.drop(*[name for _, name in family.levels])
     contexts = work.put(_edge_texts(edges, rows), "contexts")
     work.put(_edge_spans(contexts), "spans")
-    work.drop("contexts", "edges", *[name for _, name in family.levels])
+    work.drop("contexts", "edges")
     spans = work.spark.read.parquet(f"{work.path}/spans")
     for m in matches:
         whole = m.select("place.doc", "place.copy", "place.start", (F.col("place.start") + F.col("place.n") + MATCH - 1).cast("int").alias("end"))
