@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, neardup, quality_rules, sharding, suffixes
+from . import bpe, chat, cotraining, decontam, labelled, langid, neardup, quality_rules, sharding, suffixes, toxicity
 from .common import Work, table
 
 QUERIES: dict = {}
@@ -103,9 +103,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(decoded: DataFrame) -> DataFrame:
+def bpe_digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return decoded.select(
         "doc_id",
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
@@ -154,3 +155,21 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 100-byte strings that also start earlier."""
     out = suffixes.deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", suffixes.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; every fifth document, by checksum, is held out of learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.withColumn("held_out", labelled.held_out()), model, keep=("held_out",))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; every fifth document, by checksum, is held out of learning."""
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    scored = cotraining.score(docs.withColumn("held_out", labelled.held_out()), model, keep=("doc_id", "held_out"))
+    return scored.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "kept": F.col("score") >= 0.5})

@@ -176,7 +176,6 @@ def _compare(batches):
     for batch in batches:
         table = pa.Table.from_batches([batch] if rest is None else [*rest, batch])
         keys = table.column(0).to_numpy()
-        cut = int(np.searchsorted(keys != keys[-1], False)) if len(keys) else 0
         cut = len(keys) - int((keys[::-1] != keys[-1]).argmax()) if len(keys) and (keys != keys[-1]).any() else 0
         if cut:
             yield from _compared(table.slice(0, cut))
@@ -239,12 +238,12 @@ def _edge_spans(contexts: DataFrame) -> DataFrame:
     return few.unionByName(later.select("doc", "copy", "start", (F.col("start") + MATCH).alias("end")))
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, copy, text and the other columns): copy numbers the rows of one key, if any key has more; a null key comes first."""
-    docs = docs.withColumn("doc", F.coalesce(F.col(key).cast("long"), F.lit(FIRST)))
+def identified(docs: DataFrame) -> DataFrame:
+    """docs (doc, text, ...) with copy, which numbers the rows of one doc, if any doc has more; a null doc comes first, a null text is empty."""
+    docs = docs.withColumns({"doc": F.coalesce(F.col("doc").cast("long"), F.lit(FIRST)), "text": F.coalesce("text", F.lit(""))})
     if docs.groupBy("doc").count().where("count > 1").isEmpty():
         return docs.withColumn("copy", F.lit(0))
-    return docs.withColumn("copy", F.row_number().over(Window.partitionBy("doc").orderBy(F.col(text))))
+    return docs.withColumn("copy", F.row_number().over(Window.partitionBy("doc").orderBy("text")))
 
 
 def repeated(rows: DataFrame, work: Work, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
@@ -269,47 +268,46 @@ def repeated(rows: DataFrame, work: Work, batches: int = BATCHES, hot: int = HOT
     return spans
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, hot: int = HOT, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(key, keep, n_bytes, spans, kept) for every row: the maximal removed runs of bytes and the bytes that are left.
 
     Texts are judged as they are, whole and as UTF-8 bytes: a string of MATCH bytes counts as repeated if it also starts in a row of a
     smaller key, or earlier in a row of the same key. A null key comes before all others; null texts are empty; texts shorter than MATCH bytes lose
-    nothing; an empty table gives no rows. Other columns are not read.
+    nothing; an empty table gives no rows. Other columns are not read. With as_text kept is a string without characters that lost a byte.
     """
-    work = Work(docs.sparkSession)
-    rows = identified(docs.select(key, text, *keep), key, text).withColumn("text", F.coalesce(F.col(text), F.lit("")))
-    spans = repeated(rows.select("doc", "copy", "text"), work, batches, hot)
-    lists = spans.groupBy("doc", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    lists = work.put(lists, "lists")
+    spark, work = docs.sparkSession, Work(docs.sparkSession)
     names = [key, *keep]
+    inner = [f"_c{i}" for i in range(len(names))]
+    rows = identified(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), *[F.col(c).alias(i) for c, i in zip(names, inner, strict=True)]))
+    spans = repeated(rows.select("doc", "copy", "text"), work, batches, hot)
+    lists = work.put(spans.groupBy("doc", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "lists")
+
+    def cut(text_: np.ndarray, x) -> tuple[list[dict], bytes]:
+        merged, body, at = [], [], 0
+        if x.is_valid:
+            pairs = np.stack([x.values.field(0).to_numpy(), x.values.field(1).to_numpy()], axis=1)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            to = np.maximum.accumulate(pairs[:, 1])
+            new = np.concatenate([[True], pairs[1:, 0] > to[:-1]])
+            for a, b in zip(pairs[new, 0].tolist(), to[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(to) - 1]])].tolist(), strict=True):
+                merged.append({"start": a, "end": b})
+                body.append(text_[at:a].tobytes())
+                at = b
+        body.append(text_[at:].tobytes())
+        return merged, b"".join(body)
 
     def run(batches):
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            out, kept = [], []
-            for i, x in enumerate(batch.column(1)):
-                merged, body, at = [], [], 0
-                text_ = data[offsets[i] : offsets[i + 1]]
-                if x.is_valid:
-                    pairs = np.stack([x.values.field(0).to_numpy(), x.values.field(1).to_numpy()], axis=1)
-                    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                    to = np.maximum.accumulate(pairs[:, 1])
-                    new = np.concatenate([[True], pairs[1:, 0] > to[:-1]])
-                    begin, end = pairs[new, 0], to[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(to) - 1]])]
-                    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                        merged.append({"start": a, "end": b})
-                        body.append(text_[at:a].tobytes())
-                        at = b
-                body.append(text_[at:].tobytes())
-                out.append(merged)
-                kept.append(b"".join(body))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.diff(offsets)), pa.array(out, span), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"])
-
-    arrow_batches(docs.sparkSession)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    joined = rows.join(lists, ["doc", "copy"], "left").select("text", "spans", *names)
-    return joined.mapInArrow(run, f"{kinds}, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
+            out = [cut(data[a:b], x) for a, b, x in zip(offsets[:-1], offsets[1:], batch.column(1), strict=True)]
+            kept = pa.array([k.decode(errors="ignore") for _, k in out], pa.string()) if as_text else pa.array([k for _, k in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.diff(offsets)), pa.array([m for m, _ in out], kind), kept], [*names, "n_bytes", "spans", "kept"])
+
+    arrow_batches(spark)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    joined = rows.join(lists, ["doc", "copy"], "left").select("text", "spans", *inner)
+    return joined.mapInArrow(run, f"{kinds}, n_bytes long, spans array<struct<start: int, end: int>>, kept {'string' if as_text else 'binary'}")
 
 
 def removed_bytes(spans: Column) -> Column:
