@@ -2,5 +2,470 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import metafields, naming, statistics
+from ..operators import aggregate, enrichment, filters, genes, interval, metadata, sequences, transform
+from ..schema import located
+from ..sources import text
+from ..streaming import tiles
+from . import views
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+_HIT = 'a.chrom = b.chrom AND a.start < b."end" AND a."end" > b.start'
+
+
+def query(sql: str | None = None):
+    """Registers a query; in its SQL the views' names stand for the views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            with_views = ", ".join(f"{name} AS ({body})" for name, body in views.SQL.items())
+            SQL[f.__name__] = f"WITH RECURSIVE {with_views}{',' if sql.lstrip().startswith('WITH ') else ''} {sql.lstrip().removeprefix('WITH ')}"
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
+    """Rounded so that sums added up in another order, which may lie on either side of a half, agree."""
+    return df.withColumns({c: F.floor(F.col(c) * 10.0**digits + 0.501) / 10.0**digits for c in columns})
+
+
+def _round_sql(value: str, digits: int = 2) -> str:
+    return f"floor(({value}) * {10.0**digits} + 0.501) / {10.0**digits}"
+
+
+def _ab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return views.data(spark, sf_dir), views.ranges(spark, sf_dir)
+
+
+_STATS = ", ".join(f"{_round_sql(f'coalesce({v}, 0)')} AS agg_{n}" for n, v in {"min": "min(v)", "max": "max(v)", "sum": "sum(v)", "median": "list_sort(list(v))[count(v) // 2 + 1]", "mean": "avg(v)"}.items()) + ", count(v) AS agg_count"
+_SHARE = 'a.score * (least(a."end", t."end") - greatest(a.start, t.start)) / (a."end" - a.start)'
+_TILES = "t AS (SELECT chrom, i * {n} AS start, (i + 1) * {n} AS \"end\" FROM (SELECT chrom, unnest(range(0, (size - 1) // {n})) AS i FROM sizes WHERE size > {n}))"
+
+
+@query(f"""WITH {_TILES.format(n=1000)}, s AS (SELECT * FROM a WHERE start < 150000 AND "end" > 20000 AND chrom IN ('chr0', 'chr1', 'chr2', 'chr3'))
+    SELECT * FROM (SELECT t.chrom, t.start, t."end", {_STATS} FROM t LEFT JOIN (SELECT * FROM s) a ON a.chrom = t.chrom AND a.start < t."end" AND a."end" > t.start
+    CROSS JOIN LATERAL (SELECT {_SHARE} AS v) GROUP BY ALL) WHERE agg_count > 0""")
+def flagship_tiles(spark, sf_dir):
+    """Tile the genome, select data in a range, aggregate the score of each tile, keep tiles with data."""
+    data = filters.in_range(views.data(spark, sf_dir), ["chr0", "chr1", "chr2", "chr3"], 20_000, 150_000)
+    out = aggregate.aggregate(data, transform.tiling(views.sizes(spark, sf_dir), 1000), "score")
+    out = filters.filter_regions(out, "@AGG.COUNT", ">", 0, "number")
+    return _rounded(out, "agg_min", "agg_max", "agg_median", "agg_mean", "agg_sum").drop("agg_var", "agg_sd")
+
+
+@query("SELECT a.* FROM a JOIN datasets d USING (dataset_id) WHERE d.genome = 'ASIA' AND d.project IN ('project0', 'project1') AND a.start < 60000 AND a.\"end\" > 10000")
+def s1_select_regions(spark, sf_dir):
+    found = filters.select_regions(views.data(spark, sf_dir), views.datasets(spark, sf_dir), genome="asia", project=["project0", "project1"], start=10_000, end=60_000)
+    return found
+
+
+@query("SELECT a.* FROM a JOIN datasets d USING (dataset_id) WHERE d.name IN (SELECT name FROM datasets WHERE dataset_id IN (1, 2, 3)) AND chrom = 'chr1'")
+def s2_select_experiments(spark, sf_dir):
+    d = views.datasets(spark, sf_dir)
+    names = [r["name"] for r in d.where(F.col("dataset_id").isin(1, 2, 3)).select("name").collect()]  # three rows
+    return filters.select_regions(views.data(spark, sf_dir), d, experiment_name=names, chromosomes="chr1")
+
+
+@query("SELECT b.* FROM b WHERE dataset_id IN (SELECT dataset_id FROM datasets WHERE regexp_replace(lower(name), '[^a-z0-9+]', '', 'g') = 'supplier000000004' AND content_format = 'peaks')")
+def s3_select_annotations(spark, sf_dir):
+    annotations = views.datasets(spark, sf_dir).withColumn("done", F.col("content_format") == "peaks")
+    return filters.select_annotations(views.ranges(spark, sf_dir), annotations, "Supplier#000000004")
+
+
+@query("SELECT gene_id, gene_name, chrom, start, \"end\", strand FROM genes WHERE (gene_id IN ('G1', 'G7') OR brand = 'Brand#11') AND \"end\" >= 1000 AND start <= 150000")
+def s4_select_genes(spark, sf_dir):
+    found = genes.select_genes(views.genes(spark, sf_dir), ["G1", "G7"], ["Brand#11"], start=1000, end=150_000)
+    return found.select("gene_id", "gene_name", "chrom", "start", "end", "strand")
+
+
+@query("""WITH e AS (SELECT 'G' || l_partkey || '.1' AS tracking_id, l_suppkey AS sample_id, l_linenumber AS replica, l_quantity AS fpkm FROM lineitem WHERE l_suppkey IN (1, 2))
+    SELECT g.chrom, g.start, g."end", g.strand, e.tracking_id, e.sample_id, e.fpkm FROM e JOIN genes g ON g.gene_id = split_part(e.tracking_id, '.', 1) WHERE e.replica IN (1, 2)""")
+def s5_select_expressions(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    e = line.select(F.concat(F.lit("G"), "l_partkey", F.lit(".1")).alias("tracking_id"), F.col("l_suppkey").alias("sample_id"), F.col("l_linenumber").alias("replica"), F.col("l_quantity").alias("fpkm"), F.lit(None).cast("string").alias("gene_name"))
+    out = genes.select_expressions(e, views.genes(spark, sf_dir), sample_ids=[1, 2], replicas=[1, 2])
+    return out.select("chrom", "start", "end", "strand", "tracking_id", "sample_id", "fpkm")
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, string_split_regex(text, 'tion') AS parts FROM documents),
+    p AS (SELECT 'doc' || doc_id AS chrom, list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + 4 * (i - 1) AS start FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM m))
+    SELECT chrom, start, start + 4 AS "end" FROM p""")
+def s6_find_motif(spark, sf_dir):
+    return sequences.find_motif(views.sequences(spark, sf_dir), "tion")
+
+
+@query(f"WITH {_TILES.format(n=500)} SELECT * FROM t")
+def s7_tiling(spark, sf_dir):
+    return transform.tiling(views.sizes(spark, sf_dir), 500)
+
+
+@query("SELECT * FROM (VALUES ('chr1', 10::BIGINT, 20::BIGINT, 'x', 1.5), ('chr2', 5, 9, 'y', 2)) AS v(chrom, start, \"end\", name, score)")
+def s8_input_regions(spark, sf_dir):
+    out = text.bed(spark, ["#head", "chr1\t10\t20\tx\t1.5", "", "chr2\t5\t9\ty\t2"])
+    return out.where("error IS NULL").drop("error")
+
+
+@query("SELECT chrom, start, \"end\" FROM a WHERE chrom IN ('chr2', 'chr4') AND start < 5000 AND \"end\" > 1000")
+def s9_range_scan(spark, sf_dir):
+    return filters.in_range(views.data(spark, sf_dir), ["chr2", "chr4"], 1000, 5000).select("chrom", "start", "end")
+
+
+@query("SELECT chrom, start, \"end\", \"end\" - start AS length, strand, name, biosource, genome FROM a JOIN datasets USING (dataset_id) WHERE score > 50000")
+def p1_get_regions(spark, sf_dir):
+    rows = metafields.with_datasets(views.data(spark, sf_dir).where("score > 50000"), views.datasets(spark, sf_dir))
+    out = metafields.formatted(rows, "CHROMOSOME,START,END,@LENGTH,@STRAND,@NAME,@BIOSOURCE,@GENOME")
+    return out.toDF("chrom", "start", "end", "length", "strand", "name", "biosource", "genome")
+
+
+@query("SELECT chrom || chr(9) || start || chr(9) || printf('%.4f', score) AS line FROM a WHERE score > 90000")
+def k1_text_lines(spark, sf_dir):
+    return metafields.as_text(metafields.formatted(views.data(spark, sf_dir).where("score > 90000"), "CHROMOSOME,START,SCORE"))
+
+
+@query("SELECT * FROM b ORDER BY chrom, start, \"end\", dataset_id LIMIT 50")
+def k4_preview(spark, sf_dir):
+    return views.ranges(spark, sf_dir).orderBy("chrom", "start", "end", "dataset_id").limit(50)
+
+
+@query("SELECT * FROM a WHERE strand = '-' AND chrom <> 'chr0'")
+def p2_filter_string(spark, sf_dir):
+    return filters.filter_regions(filters.filter_regions(views.data(spark, sf_dir), "STRAND", "==", "-"), "CHROMOSOME", "!=", "chr0")
+
+
+@query("SELECT * FROM a WHERE score >= 30000 AND \"end\" - start < 20")
+def p3_filter_number(spark, sf_dir):
+    return filters.filter_regions(filters.filter_regions(views.data(spark, sf_dir), "SCORE", ">=", 30000, "number"), "@LENGTH", "<", 20, "number")
+
+
+@query("SELECT 'doc' || doc_id AS chrom, i * 300 AS start, i * 300 + 60 AS \"end\" FROM documents, range(0, 3) r(i) WHERE i * 300 < length(text) AND regexp_matches(substr(text, i * 300 + 1, 60), 'th[ei]')")
+def p4_filter_by_motif(spark, sf_dir):
+    s = views.sequences(spark, sf_dir)
+    places = s.select("chrom", F.explode(F.array(*[F.lit(i * 300).cast("long") for i in range(3)])).alias("start"), F.length("bases").alias("_n")).where("start < _n").select("chrom", "start", (F.col("start") + 60).alias("end"))
+    return sequences.filter_by_motif(places, sequences.chunked(s, 256), "th[ei]", 256)
+
+
+@query("SELECT * FROM a WHERE dataset_id IN (SELECT dataset_id FROM datasets WHERE content_format = 'peaks')")
+def p5_experiment_type(spark, sf_dir):
+    return filters.experiment_type(views.data(spark, sf_dir), views.datasets(spark, sf_dir), "peaks")
+
+
+@query(f"SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT})")
+def j1_intersection(spark, sf_dir):
+    return interval.intersection(*_ab(spark, sf_dir))
+
+
+@query(f"SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND greatest(b.\"end\" - a.start, a.\"end\" - b.start) >= 120)")
+def j2_overlap_bp(spark, sf_dir):
+    return interval.overlap(*_ab(spark, sf_dir), True, 120, "bp")
+
+
+@query(f"SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND greatest(b.\"end\" - a.start, a.\"end\" - b.start) >= greatest(ceil((b.\"end\" - b.start) * 110.0 / 100), ceil((a.\"end\" - a.start) * 110.0 / 100)))")
+def j2_overlap_percent(spark, sf_dir):
+    return interval.overlap(*_ab(spark, sf_dir), True, 110, "%")
+
+
+@query(f"SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND least(b.\"end\", a.\"end\") - greatest(b.start, a.start) >= 25)")
+def j2_overlap_shared(spark, sf_dir):
+    return interval.overlap(*_ab(spark, sf_dir), True, 25, "bp", mode="shared")
+
+
+@query(f"SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_HIT})")
+def j3_no_overlap(spark, sf_dir):
+    return interval.overlap(*_ab(spark, sf_dir), False)
+
+
+@query(f"""WITH few AS (SELECT * FROM b WHERE dataset_id % 20 = 3 AND chrom <> 'chr3'), l AS (SELECT chrom, arg_max({{'s': start, 'e': "end"}}, {{'s': start, 'e': "end"}}) AS x FROM few GROUP BY chrom)
+    SELECT a.* FROM a LEFT JOIN l USING (chrom) WHERE NOT EXISTS (SELECT 1 FROM few b WHERE {_HIT}) AND CASE
+      WHEN EXISTS (SELECT 1 FROM few b WHERE b.chrom = a.chrom AND b.start >= a."end") THEN
+        (SELECT min(b.start) - a."end" FROM few b WHERE b.chrom = a.chrom AND b.start >= a."end") >= 40
+      WHEN l.x IS NOT NULL THEN a.start - l.x.e >= 40 ELSE true END""")
+def j3_distance(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    return interval.overlap(a, b.where("dataset_id % 20 = 3 AND chrom <> 'chr3'"), False, 40, "bp")
+
+
+@query(f"SELECT count(*) AS count FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT})")
+def j4_count_overlaps(spark, sf_dir):
+    return interval.count_overlaps(*_ab(spark, sf_dir))
+
+
+@query(f"SELECT a.chrom, a.start, a.\"end\", b.start AS r_start, b.\"end\" AS r_end FROM a JOIN b ON {_HIT}")
+def j5_overlap_pairs(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    return interval.pairs(a.select("chrom", "start", "end"), b.select("chrom", "start", "end"))
+
+
+@query("SELECT x.chrom, x.start, x.\"end\", g.gene_id, g.gene_name FROM (SELECT chrom, start, \"end\", CASE WHEN start % 3 = 0 THEN '+' ELSE strand END AS strand FROM genes) x JOIN genes g ON x.chrom = g.chrom AND x.start = g.start AND x.\"end\" = g.\"end\" AND (g.strand = '.' OR g.strand = x.strand)")
+def j6_gene_location(spark, sf_dir):
+    g = views.genes(spark, sf_dir)
+    x = g.select("chrom", "start", "end", F.when(F.col("start") % 3 == 0, "+").otherwise(F.col("strand")).alias("strand"))
+    return interval.gene_location(x, g).select("chrom", "start", "end", "gene_id", "gene_name")
+
+
+@query("SELECT a.chrom, a.start, d.name, d.epigenetic_mark FROM a LEFT JOIN datasets d USING (dataset_id) WHERE a.score > 80000")
+def j8_metadata_join(spark, sf_dir):
+    rows = metafields.with_datasets(views.data(spark, sf_dir).where("score > 80000"), views.datasets(spark, sf_dir))
+    return rows.select("chrom", "start", F.col("dataset_name").alias("name"), F.col("dataset_epigenetic_mark").alias("epigenetic_mark"))
+
+
+_PLACES = "SELECT 'doc' || doc_id AS chrom, i * 300 AS start, i * 300 + 60 AS \"end\", substr(text, i * 300 + 1, 60) AS sequence FROM documents, range(0, 3) r(i) WHERE i * 300 < length(text)"
+
+
+def _sequences(spark, sf_dir):
+    s = views.sequences(spark, sf_dir)
+    places = s.select("chrom", F.explode(F.array(*[F.lit(i * 300).cast("long") for i in range(3)])).alias("start"), F.length("bases").alias("_n")).where("start < _n").select("chrom", "start", (F.col("start") + 60).alias("end"))
+    return sequences.with_sequence(places, sequences.chunked(s, 256), 256)
+
+
+@query(_PLACES)
+def j9_sequence(spark, sf_dir):
+    return _sequences(spark, sf_dir)
+
+
+@query(f"SELECT chrom, start, len(regexp_extract_all(sequence, 'th|on')) AS n FROM ({_PLACES})")
+def m5_count_motif(spark, sf_dir):
+    s = _sequences(spark, sf_dir)
+    return s.select("chrom", "start", metafields.column(s, "@COUNT.MOTIF(th|on)").cast("long").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT chrom, start, "end" FROM b WHERE chrom IN (SELECT chrom FROM a))
+    SELECT t.chrom, t.start, t."end", {_STATS}, {_round_sql('coalesce(stddev_pop(v), 0)')} AS agg_sd FROM t LEFT JOIN a ON a.chrom = t.chrom AND a.start < t."end" AND a."end" > t.start CROSS JOIN LATERAL (SELECT {_SHARE} AS v) GROUP BY ALL""")
+def a1_aggregate(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    out = aggregate.aggregate(a, b.select("chrom", "start", "end").distinct(), "score").drop("agg_var")
+    return _rounded(out, "agg_min", "agg_max", "agg_median", "agg_mean", "agg_sum", "agg_sd")
+
+
+@query("SELECT count(*) AS count FROM a")
+def a3_count(spark, sf_dir):
+    return aggregate.count_regions(views.data(spark, sf_dir))
+
+
+@query("SELECT strand AS value, count(*) AS count FROM a GROUP BY strand")
+def a4_distinct(spark, sf_dir):
+    return aggregate.distinct_values(views.data(spark, sf_dir), "strand")
+
+
+@query("""WITH e AS (SELECT min(score) AS lo, max(score) AS hi, (max(score) - min(score)) / 20 AS st FROM a),
+    c AS (SELECT greatest(0, least(19, ceil((score - lo) / st) - 1))::INT AS bin, count(*) AS count FROM a, e GROUP BY 1)
+    SELECT i::INT AS bin, floor((lo + st * i) * 100.0 + 0.501) / 100.0 AS lower, floor((lo + st * (i + 1)) * 100.0 + 0.501) / 100.0 AS upper, coalesce(count, 0) AS count FROM range(0, 20) r(i) CROSS JOIN e LEFT JOIN c ON c.bin = i""")
+def a5_binning(spark, sf_dir):
+    return _rounded(aggregate.binning(views.data(spark, sf_dir), "score", 20), "lower", "upper")
+
+
+@query("""WITH s AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a)
+    SELECT chrom, any_value(size) AS size, sum(greatest(0, "end" - greatest(start, coalesce(before, 0))))::BIGINT AS total, floor(sum(greatest(0, "end" - greatest(start, coalesce(before, 0)))) * 100.0 / any_value(size) * 100.0 + 0.501) / 100.0 AS percent FROM s JOIN sizes USING (chrom) GROUP BY chrom""")
+def a6_coverage(spark, sf_dir):
+    return _rounded(aggregate.coverage(views.data(spark, sf_dir), views.sizes(spark, sf_dir)), "percent")
+
+
+_EXPERIMENTS = ("1", "2", "3")
+
+
+@query(f"""WITH {_TILES.format(n=20000)}, m AS (SELECT t.chrom, t.start, t."end", a.dataset_id AS e, {_SHARE} AS v FROM t JOIN a ON a.chrom = t.chrom AND a.start < t."end" AND a."end" > t.start WHERE dataset_id IN (1, 2, 3))
+    SELECT t.chrom, t.start, t."end", {', '.join(f"{_round_sql(f'SELECT avg(v) FROM m WHERE m.chrom = t.chrom AND m.start = t.start AND e = {e}')} AS e{e}" for e in _EXPERIMENTS)} FROM t""")
+def a7_score_matrix(spark, sf_dir):
+    data = views.data(spark, sf_dir).withColumn("experiment", F.concat(F.lit("e"), "dataset_id"))
+    names = [f"e{e}" for e in _EXPERIMENTS]
+    out = aggregate.score_matrix(data, transform.tiling(views.sizes(spark, sf_dir), 20_000), dict.fromkeys(names, "score"), "mean")
+    return _rounded(out, *names)
+
+
+@query("SELECT dataset_id, name FROM datasets WHERE dataset_id IN (SELECT dataset_id FROM b WHERE start < 3000)")
+def a8_experiments_by_query(spark, sf_dir):
+    return filters.experiments_of(views.ranges(spark, sf_dir).where("start < 3000"), views.datasets(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS count FROM datasets WHERE project IN ('project0', 'project2') GROUP BY {c}" for c in ("genome", "biosource", "epigenetic_mark", "project")))
+def a9_facets(spark, sf_dir):
+    return metadata.facets(views.datasets(spark, sf_dir), visible=["project0", "project2"])
+
+
+@query("SELECT biosource AS value, count(*) AS count FROM datasets WHERE genome = 'EUROPE' GROUP BY biosource")
+def a10_facet(spark, sf_dir):
+    return metadata.facet(views.datasets(spark, sf_dir), "biosource", genome="Europe")
+
+
+@query("SELECT epigenetic_mark AS value, count(*) AS count FROM datasets WHERE project = 'project1' GROUP BY 1")
+def a11_in_use(spark, sf_dir):
+    return metadata.facet(views.datasets(spark, sf_dir), "epigenetic_mark", visible="project1")
+
+
+@query("SELECT go_id, go_id AS go_label, count(*) AS count FROM (SELECT brand AS go_id FROM genes UNION ALL SELECT type FROM genes) GROUP BY 1, 2")
+def a12_count_terms(spark, sf_dir):
+    return genes.count_terms(views.genes(spark, sf_dir))
+
+
+@query(f"WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND b.dataset_id < 50)) SELECT go_id, go_id AS go_label, count(*) AS count FROM (SELECT brand AS go_id FROM m UNION ALL SELECT type FROM m) GROUP BY 1, 2")
+def a13_terms_of_intersection(spark, sf_dir):
+    met = interval.intersection(views.genes(spark, sf_dir).select("gene_id", "chrom", "start", "end", "go_terms"), views.ranges(spark, sf_dir).where("dataset_id < 50"))
+    return genes.count_terms(met)
+
+
+@query(f"""WITH u AS (SELECT chrom, i * 2000 AS start, (i + 1) * 2000 AS "end" FROM (SELECT chrom, unnest(range(0, (size - 1) // 2000)) AS i FROM sizes)), q AS (SELECT * FROM b WHERE dataset_id < 60), db AS (SELECT * FROM a WHERE dataset_id <= 5),
+    r AS (SELECT * FROM u a WHERE EXISTS (SELECT 1 FROM q b WHERE {_HIT})),
+    x AS (SELECT b.dataset_id, count(DISTINCT (a.chrom, a.start)) AS a FROM r a JOIN db b ON {_HIT} GROUP BY 1), y AS (SELECT b.dataset_id, count(DISTINCT (a.chrom, a.start)) AS u FROM u a JOIN db b ON {_HIT} GROUP BY 1)
+    SELECT dataset_id, coalesce(a, 0) AS a, u - coalesce(a, 0) AS b, (SELECT count(*) FROM r) - coalesce(a, 0) AS c, (SELECT count(*) FROM u) - u - (SELECT count(*) FROM r) + coalesce(a, 0) AS d FROM y LEFT JOIN x USING (dataset_id)""")
+def e2_overlap_tables(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    return enrichment.overlap_tables(b.where("dataset_id < 60"), a.where("dataset_id <= 5"), transform.tiling(views.sizes(spark, sf_dir), 2000))
+
+
+@query()
+def e2_enrich_overlap(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    return enrichment.enrich_overlap(b.where("dataset_id < 60"), a.where("dataset_id <= 5"), transform.tiling(views.sizes(spark, sf_dir), 2000))
+
+
+@query("""WITH w AS (SELECT floor(sum(size) / 65536 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w),
+    q AS (SELECT DISTINCT unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM b JOIN f USING (chrom) WHERE dataset_id < 60),
+    e AS (SELECT DISTINCT dataset_id, unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM a JOIN f USING (chrom)),
+    s AS (SELECT dataset_id, count(q.tile) AS a, count(*) AS n FROM e LEFT JOIN q USING (tile) GROUP BY 1)
+    SELECT dataset_id, a, n - a AS b, (SELECT count(*) FROM q) - a AS c, 65536 - n - (SELECT count(*) FROM q) + a AS d FROM s""")
+def e3_fast_tables(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    return enrichment.fast_tables(b.where("dataset_id < 60"), a, views.sizes(spark, sf_dir), bits=65536)
+
+
+@query()
+def e3_enrich_fast(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    return enrichment.enrich_fast(b.where("dataset_id < 60"), a, views.sizes(spark, sf_dir), bits=65536)
+
+
+@query("""WITH w AS (SELECT floor(sum(size) / 65536 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w)
+    SELECT dataset_id, count(DISTINCT tile) AS tiles FROM (SELECT dataset_id, unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM a JOIN f USING (chrom)) GROUP BY 1""")
+def e3_signature_sizes(spark, sf_dir):
+    s = enrichment.signatures(views.data(spark, sf_dir), views.sizes(spark, sf_dir), bits=65536)
+    return s.groupBy("dataset_id").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("tiles"))
+
+
+@query(f"""WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND b.dataset_id < 20)), g AS (SELECT gene_id, brand AS go_id FROM genes UNION SELECT gene_id, type FROM genes),
+    t AS (SELECT go_id, count(*) AS total, count(*) FILTER (gene_id IN (SELECT gene_id FROM m)) AS a FROM g GROUP BY 1)
+    SELECT go_id, go_id AS go_label, a, total - a AS b, (SELECT count(*) FROM m) - a AS c, (SELECT count(*) FROM genes) - total - (SELECT count(*) FROM m) + a AS d, a / total AS ratio FROM t WHERE a > 0""")
+def e4_term_tables(spark, sf_dir):
+    return genes.term_tables(views.genes(spark, sf_dir), views.ranges(spark, sf_dir).where("dataset_id < 20"))
+
+
+@query()
+def e4_enrich_terms(spark, sf_dir):
+    return enrichment.enrich_terms(views.genes(spark, sf_dir), views.ranges(spark, sf_dir).where("dataset_id < 20"))
+
+
+@query("SELECT name, rank() OVER (ORDER BY a DESC) AS support_rank, rank() OVER (ORDER BY log_score DESC) AS log_rank, rank() OVER (ORDER BY odds_ratio DESC) AS odds_rank FROM (SELECT n_name AS name, count(*) AS a, n_regionkey AS log_score, n_nationkey % 4 AS odds_ratio FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_regionkey, n_nationkey)")
+def e5_ranks(spark, sf_dir):
+    n, s = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    r = n.join(s, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name", "n_regionkey", "n_nationkey").agg(F.count("*").alias("a"))
+    r = r.select(F.col("n_name").alias("name"), "a", F.col("n_regionkey").alias("log_score"), (F.col("n_nationkey") % 4).alias("odds_ratio"))
+    return statistics.ranked(r).select("name", *[F.col(c).cast("long").alias(c) for c in ("support_rank", "log_rank", "odds_rank")])
+
+
+_STRANDED = "CASE WHEN strand = '-' THEN {m} ELSE {p} END"
+
+
+@query(f"SELECT chrom, {_STRANDED.format(m='greatest(0, start - 500)', p='start')} AS start, {_STRANDED.format(m=chr(34) + 'end' + chr(34), p=chr(34) + 'end' + chr(34) + ' + 500')} AS \"end\", strand, score FROM a")
+def t1_extend(spark, sf_dir):
+    return transform.extend(views.data(spark, sf_dir), 500, "FORWARD", use_strand=True).select("chrom", "start", "end", "strand", "score")
+
+
+@query("SELECT chrom, greatest(0, start - 300) AS start, \"end\" + 300 AS \"end\" FROM b")
+def t1_extend_both(spark, sf_dir):
+    return transform.extend(views.ranges(spark, sf_dir), 300).select("chrom", "start", "end")
+
+
+@query(f"SELECT chrom, greatest(0, {_STRANDED.format(m=chr(34) + 'end' + chr(34) + ' + 100 - 50', p='start - 100')}) AS start, greatest(0, {_STRANDED.format(m=chr(34) + 'end' + chr(34) + ' + 100', p='start - 50')}) AS \"end\", score FROM a")
+def t2_flank(spark, sf_dir):
+    return transform.flank(views.data(spark, sf_dir), -100, 50, use_strand=True).select("chrom", "start", "end", "score")
+
+
+@query("SELECT DISTINCT chrom, start, \"end\", dataset_id FROM (SELECT chrom, start, \"end\", dataset_id FROM a UNION ALL SELECT chrom, start, \"end\", dataset_id FROM b UNION ALL SELECT chrom, start, \"end\", dataset_id FROM a)")
+def t3_merge(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    a = a.select("chrom", "start", "end", "dataset_id")
+    return transform.merge(a, b, a)
+
+
+@query(f"""WITH p AS (SELECT DISTINCT chrom, unnest([start, "end"]) AS start FROM b), l AS (SELECT chrom, start, lead(start) OVER (PARTITION BY chrom ORDER BY start) AS "end" FROM p)
+    SELECT * FROM l a WHERE "end" IS NOT NULL AND EXISTS (SELECT 1 FROM b WHERE {_HIT})""")
+def t4_disjoin(spark, sf_dir):
+    return transform.disjoin(views.ranges(spark, sf_dir))
+
+
+@query("SELECT s_suppkey AS dataset_id, regexp_replace(lower(s_name), '[^a-z0-9+]', '', 'g') AS norm FROM supplier")
+def m13_normalised(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("dataset_id"), naming.normalised(F.col("s_name")).alias("norm"))
+
+
+@query()
+def m14_similar(spark, sf_dir):
+    return metadata.similar(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name")), "Nation 3")
+
+
+@query("SELECT gene_id, type AS attribute, brand || ',' || type AS labels FROM genes")
+def m9_gene_attributes(spark, sf_dir):
+    g = views.genes(spark, sf_dir)
+    return g.select("gene_id", metafields.column(g, "@GENE_ATTRIBUTE(type)").alias("attribute"), metafields.column(g, "@GO_LABELS(model)").alias("labels"))
+
+
+@query("SELECT chrom, start, printf('%.6f', (\"end\" - start)::DOUBLE) AS value FROM b")
+def u1_calculated(spark, sf_dir):
+    b = views.ranges(spark, sf_dir)
+    return b.select("chrom", "start", metafields.column(b, "@CALCULATED(end - start)").alias("value"))
+
+
+@query(f"WITH e AS ({views.EDGES}), r AS (SELECT 'r1' AS root, 'r1' AS node, 0 AS depth UNION ALL SELECT root, child, depth + 1 FROM r JOIN e ON parent = node) SELECT * FROM r")
+def h1_descendants(spark, sf_dir):
+    return metadata.descendants(views.edges(spark, sf_dir), spark.createDataFrame([("r1",)], "node string"))
+
+
+@query(f"SELECT parent AS node FROM ({views.EDGES}) WHERE child = 'c7'")
+def h2_parents(spark, sf_dir):
+    return metadata.parents(views.edges(spark, sf_dir), "c7")
+
+
+@query("WITH s AS (SELECT n_regionkey AS root, n_name AS synonym FROM nation) SELECT synonym AS name FROM s WHERE root = (SELECT root FROM s WHERE lower(synonym) = lower((SELECT n_name FROM nation WHERE n_nationkey = 4)))")
+def h3_synonyms(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    name = n.where("n_nationkey = 4").first()["n_name"]
+    return metadata.synonyms(n.select(F.col("n_regionkey").alias("root"), F.col("n_name").alias("synonym")), name)
+
+
+@query("SELECT dataset_id, name FROM datasets WHERE genome = 'AMERICA' AND epigenetic_mark IN ('H3K1me1', 'H3K2me2') AND project <> 'project1'")
+def c1_list_experiments(spark, sf_dir):
+    return metadata.listed(views.datasets(spark, sf_dir), ["project0", "project2"], genome="America", epigenetic_mark=["h3k1me1", "H3K2me2"])
+
+
+@query("SELECT * FROM datasets WHERE regexp_matches(biosource, '[aeiou]', 'i') ORDER BY name DESC, biosource LIMIT 10 OFFSET 5")
+def c2_datatable(spark, sf_dir):
+    return metadata.datatable(views.datasets(spark, sf_dir), 5, 10, "name", descending=True, filters={"biosource": "[aeiou]"})
+
+
+@query("WITH d AS (SELECT dataset_id, name, list_filter(string_split_regex(lower(concat_ws(' ', name, genome, biosource, project, content_format, epigenetic_mark)), '[^a-z0-9_+]+'), lambda t: t IN ('asia', 'project2')) AS hits, lower(concat_ws(' ', name, genome, biosource, project, content_format, epigenetic_mark)) AS x FROM datasets) SELECT dataset_id, name, len(hits)::INT AS score FROM d WHERE len(hits) > 0 AND NOT regexp_matches(x, '(^|[^a-z0-9_+])signal($|[^a-z0-9_+])') ORDER BY score DESC, dataset_id LIMIT 50")
+def c3_search(spark, sf_dir):
+    return metadata.search(views.datasets(spark, sf_dir), "ASIA project2 -signal")
+
+
+@query("SELECT CASE WHEN chrom = '4' THEN 'chr4' ELSE chrom END AS chrom, start, least(\"end\", 150000) AS \"end\" FROM (SELECT replace(chrom, 'chr4', '4') AS chrom, start, \"end\" FROM b) WHERE chrom <> 'chr3' AND start < 150000")
+def v1_validation(spark, sf_dir):
+    b = views.ranges(spark, sf_dir).select(F.regexp_replace("chrom", "chr4", "4").alias("chrom"), "start", "end")
+    sizes = views.sizes(spark, sf_dir).where("chrom <> 'chr3'").withColumn("size", F.lit(150_000).cast("long"))
+    return located(b, sizes, ignore_unknown=True, trim=True).where("error IS NULL").select("chrom", "start", "end")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, floor(sum(value) * 100.0 + 0.501) / 100.0 AS agg_sum, floor(avg(value) * 100.0 + 0.501) / 100.0 AS agg_mean, min(value) AS agg_min, max(value) AS agg_max, count(value) AS agg_count FROM events GROUP BY ALL")
+def w1_time_tiles(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _rounded(tiles.aggregate_tiles(events, "1 hour", by=("event_type",)), "agg_sum", "agg_mean")
+
+
+@query("SELECT dataset_id, start, \"end\", row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, start, \"end\") AS place FROM a QUALIFY place <= 3")
+def t7_top_regions(spark, sf_dir):
+    w = Window.partitionBy("dataset_id").orderBy(F.col("score").desc(), "start", "end")
+    return views.data(spark, sf_dir).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("dataset_id", "start", "end", "place")
