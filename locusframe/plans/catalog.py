@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metafields, naming, statistics
 from ..operators import aggregate, enrichment, filters, genes, interval, metadata, sequences, transform
 from ..schema import located
-from ..sources import text
+from ..sources import signals, text
 from ..streaming import tiles
 from . import views
 
@@ -469,3 +471,70 @@ def w1_time_tiles(spark, sf_dir):
 def t7_top_regions(spark, sf_dir):
     w = Window.partitionBy("dataset_id").orderBy(F.col("score").desc(), "start", "end")
     return views.data(spark, sf_dir).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("dataset_id", "start", "end", "place")
+
+
+@query("SELECT chrom, start, \"end\", score AS value FROM a WHERE start < 90000 AND \"end\" > 30000 AND chrom <> 'chr4'")
+def s10_signal_blocks(spark, sf_dir):
+    """A track packed into blocks and unpacked where it meets a range."""
+    track = views.data(spark, sf_dir).where("chrom <> 'chr4'").select("chrom", "start", "end", F.col("score").alias("value"))
+    return signals.rows(signals.blocks(track), 30_000, 90_000)
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 1000 + i * 10 AS start, p_partkey * 1000 + i * 10 + 5 AS \"end\", (p_size + i)::DOUBLE AS value FROM part, range(0, 4) r(i)")
+def s10_fixed_steps(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    packed = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("chr"), k % 5).alias("chrom"), (k * 1000).alias("start"), F.lit(10).alias("step"), F.lit(5).alias("span"), F.array(*[(size + i).cast("double") for i in range(4)]).alias("scores"))
+    return signals.fixed_steps(packed)
+
+
+@query("""SELECT dataset_id, min("end" - start) AS v_min, max("end" - start) AS v_max, sum("end" - start)::BIGINT AS v_sum, list_sort(list("end" - start))[count(*) // 2 + 1] AS v_median, count(*) AS v_count, true AS v_boolean,
+    string_agg(printf('%.4f', ("end" - start)::DOUBLE), '|' ORDER BY "end" - start) AS v_acc FROM a WHERE start < 20000 GROUP BY 1""")
+def a2_accumulators(spark, sf_dir):
+    v = views.data(spark, sf_dir).where("start < 20000").select("dataset_id", (F.col("end") - F.col("start")).alias("v"))
+    numbers = v.groupBy("dataset_id").agg(*[aggregate.FUNCTIONS[n]("v").alias(f"v_{n}") for n in ("min", "max", "sum", "median", "count", "boolean")])
+    return numbers.join(aggregate.acc(v.withColumn("v", F.col("v").cast("double")), ["dataset_id"], "v").withColumnRenamed("acc", "v_acc"), "dataset_id")
+
+
+@query("SELECT o_orderkey AS dataset_id, o_orderdate AS upload_end FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-02' - INTERVAL 30 DAY")
+def c4_recent(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("dataset_id"), F.col("o_orderdate").alias("upload_end"))
+    return metadata.recent(orders, 30, "1998-08-02 00:00:00")
+
+
+@query("SELECT * FROM datasets UNION ALL SELECT 900001, 'copy', genome, biosource, project, content_format, epigenetic_mark FROM datasets WHERE dataset_id = 3")
+def c5_clone(spark, sf_dir):
+    return metadata.clone(views.datasets(spark, sf_dir), 3, 900_001, name="copy", epigenetic_mark="")
+
+
+@query("SELECT dataset_id AS id, name FROM datasets WHERE lower(name) IN ('supplier#000000002', 'supplier#000000005')")
+def c6_name_to_id(spark, sf_dir):
+    return metadata.name_to_id(views.datasets(spark, sf_dir).withColumnRenamed("dataset_id", "id"), ["supplier 000000002", "SUPPLIER#000000005"])
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey >= 2")
+def h4_related(spark, sf_dir):
+    """Names of a root and of the roots below it: regions 2, 3 and 4 in a row."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    table = n.select(F.col("n_regionkey").cast("string").alias("root"), F.col("n_name").alias("synonym"))
+    below = spark.createDataFrame([("2", "3"), ("3", "4"), ("0", "2")], "parent string, child string")
+    return metadata.related(table, below, n.where("n_regionkey = 2").orderBy("n_nationkey").first()["n_name"])
+
+
+@query("SELECT chrom, start, \"end\", name, score FROM (SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 10 AS start, p_partkey * 10 + p_size AS \"end\", p_brand AS name, p_size::DOUBLE AS score FROM part)")
+def f1_bed_lines(spark, sf_dir):
+    """Lines of a BED file, written and read."""
+    k = F.col("p_partkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lines = part.select(F.concat_ws("\t", F.concat(F.lit("chr"), k % 5), k * 10, k * 10 + F.col("p_size"), "p_brand", "p_size").alias("value"))
+    return text.bed(spark, lines, "CHROMOSOME,START,END,NAME,SCORE").where("error IS NULL").drop("error")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", floor(sum(value) * 100.0 + 0.501) / 100.0 AS agg_sum, count(value) AS agg_count FROM events GROUP BY ALL")
+def w2_stream_tiles(spark, sf_dir):
+    """The same tiles from a stream that reads what is there and ends."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"tiles_{uuid.uuid4().hex}"
+    run = tiles.aggregate_tiles(stream, "1 hour").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _rounded(spark.table(name).select("start", "end", "agg_sum", "agg_count"), "agg_sum")

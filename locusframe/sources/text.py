@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import INFERRED, OUTPUT, Registry
@@ -23,6 +23,11 @@ def lines_of(spark: SparkSession, source: str | list[str] | DataFrame) -> DataFr
     return spark.read.text(source)
 
 
+def _once(column: Column) -> Column:
+    """A column that later expressions refer to and don't repeat."""
+    return F.explode(F.array(column))
+
+
 def bed(spark: SparkSession, source, format: str | None = None, registry: Registry | None = None) -> DataFrame:
     """Rows of tab-separated lines by format (or by the number of tokens of the first line), and error.
 
@@ -31,7 +36,7 @@ def bed(spark: SparkSession, source, format: str | None = None, registry: Regist
     registry = registry or Registry()
     lines = lines_of(spark, source).where(~F.col("value").rlike(_HEADER) & (F.trim("value") != ""))
     tokens = F.split(F.rtrim(F.regexp_replace("value", r"\r$", "")), r"\t| +(?=\S)") if format is None else F.split(F.regexp_replace("value", r"\r$", ""), "\t")
-    rows = lines.select("value", tokens.alias("t"))
+    rows = lines.select("value", _once(tokens).alias("t"))
     if format is None:
         first = rows.first()
         n = len(first["t"]) if first else 3
@@ -42,7 +47,7 @@ def bed(spark: SparkSession, source, format: str | None = None, registry: Regist
     stored = [t for t in types if t.kind != "calculated"]
     n = len(stored)
     useless = (F.size("t") == n + 1) & F.get("t", F.lit(1)).rlike("^(chr|[A-Za-z])") & F.get("t", F.lit(2)).rlike(r"^\d+$")
-    rows = rows.withColumn("t", F.when(useless, F.slice("t", 2, n)).otherwise(F.col("t")))
+    rows = rows.select("value", _once(F.when(useless, F.slice("t", 2, n)).otherwise(F.col("t"))).alias("t"))
     out = {OUTPUT.get(t.name, t.name.lower()): t.typed(F.get("t", F.lit(i))) for i, t in enumerate(stored)}
     bad = [F.when(~F.coalesce(t.valid(F.get("t", F.lit(i))), F.lit(False)) & (F.get("t", F.lit(i)) != "."), F.concat(F.lit(f"bad {t.name}: "), F.coalesce(F.get("t", F.lit(i)), F.lit("nothing")))) for i, t in enumerate(stored)]
     error = F.coalesce(F.when(F.size("t") != n, F.concat(F.lit(f"not {n} columns: "), "value")), *bad)
