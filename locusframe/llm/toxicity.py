@@ -170,6 +170,8 @@ class Network:
     def gradients(self, features: np.ndarray, ids: np.ndarray, full: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy."""
         p, keep = self.p, []
+        used, back = np.unique(ids, return_inverse=True)  # -1, no word, is the last row
+        features, ids = features[used[used >= 0]], back.reshape(ids.shape) - (used[0] < 0)
         x = np.concatenate([features, np.zeros((1, INPUTS), np.float32)])
         states = self.states(self.project(features), ids, full, keep)
         logit, pooled, alpha, a = self.pool(states, full)
@@ -233,22 +235,21 @@ class Model:
         if len(set(labels)) < 2:
             return
         fold = np.arange(len(y)) % 2
-        words = []
+        words = lambda i: Words(*text_bytes(pa.array([texts[i]], pa.string())))  # noqa: E731  made anew in each pass, so that one text's n-grams are held at a time
         odds = [Odds(), Odds()]
-        for i, text in enumerate(texts):  # text by text: a bounded sample
-            w = Words(*text_bytes(pa.array([text], pa.string())))
-            words.append(w)
-            odds[fold[i]].add(w, y[i : i + 1])
+        for i in range(len(texts)):
+            odds[fold[i]].add(words(i), y[i : i + 1])
         tables = [o.tables() for o in odds]
         both = Odds()
-        both.words, both.grams, both.texts = (a + b for a, b in zip(*[(o.words, o.grams, o.texts) for o in odds], strict=True))
+        both.words, both.grams, both.texts = (sum(getattr(o, name) for o in odds) for name in ("words", "grams", "texts"))
         self.words, self.grams = both.tables()
         draw = np.random.Generator(np.random.PCG64(seed))
         features, ids, full, target, size = [], [], [], [], 0
         learns = np.arange(len(y)) % 5 != 4  # the others calibrate
-        for i, w in enumerate(words):
+        for i in np.flatnonzero(learns):
+            w = words(i)
             begin, length, _ = windows(w.count)
-            if not learns[i] or not len(begin):
+            if not len(begin):
                 continue
             f = w.features(*tables[1 - fold[i]])
             value = np.concatenate([f[:, 1], [0]])
@@ -256,15 +257,18 @@ class Model:
             top = np.argsort(-value[a].max(axis=1) - 0.1 * np.maximum(value[a], 0).sum(axis=1), kind="stable")[: 2 if len(a) > 1 else 1]
             if not y[i]:
                 top = np.unique(np.concatenate([top, draw.integers(0, len(a), 1)]))
-            ids.append(np.where(b[top], a[top] + size, -1))
+            used, back = np.unique(a[top][b[top]], return_inverse=True)
+            mine = np.full(b[top].shape, -1)
+            mine[b[top]] = back + size
+            ids.append(mine)
             full.append(b[top])
-            features.append(f)
+            features.append(f[used])
             target += [y[i]] * len(top)
-            size += len(f)
+            size += len(used)
         self.network = Network()
         self.network.fit(np.concatenate(features), np.concatenate(ids), np.concatenate(full), np.array(target, np.float32))
         rest = np.flatnonzero(~learns)
-        scores = np.array([self._highest(words[i], tables[1 - fold[i]])[0] for i in rest])
+        scores = np.array([self._highest(words(i), tables[1 - fold[i]])[0] for i in rest])
         self._calibrate(scores, y[rest])
 
     def _calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
