@@ -42,6 +42,25 @@ def _round_sql(value: str, digits: int = 2) -> str:
     return f"floor(({value}) * {10.0**digits} + 0.501) / {10.0**digits}"
 
 
+def _tested(tables: DataFrame, *by: str) -> DataFrame:
+    """Tables with their test, its numbers rounded."""
+    out = statistics.ranked(statistics.tested(tables))
+    finite = lambda c: F.when(F.col(c) == float("inf"), -1.0).otherwise(F.col(c))
+    out = out.withColumns({"log_score": finite("log_score"), "odds_ratio": finite("odds_ratio")})
+    return _rounded(out.select(*by, "a", "b", "c", "d", "p_value", "log_score", "odds_ratio", F.col("support_rank").cast("long").alias("support_rank")), "p_value", "log_score", "odds_ratio", digits=4)
+
+
+def _tested_sql(tables: str, *by: str) -> str:
+    """The test of the last SELECT of tables, which begins with by."""
+    at = tables.rindex(f"SELECT {by[0]},")
+    pdf = "exp(lgamma(r + 1) - lgamma(k + 1) - lgamma(r - k + 1) + lgamma(t - r + 1) - lgamma(n - k + 1) - lgamma(t - r - n + k + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1))"
+    return f"""{tables[:at].rstrip()}, x0 AS ({tables[at:]}), x1 AS (SELECT *, a + c AS r, c + d AS n, a + b + c + d AS t FROM x0),
+    x2 AS (SELECT *, list_transform(range(greatest(0, r + n - t)::BIGINT, least(r, n)::BIGINT + 1), lambda k: {pdf}) AS ps FROM x1),
+    x3 AS (SELECT *, least(1, list_sum(list_filter(ps, lambda p: p <= ps[(c - greatest(0, r + n - t) + 1)::BIGINT] * (1 + 1e-7)))) AS p,
+        CASE WHEN b = 0 AND a > 0 THEN -1 WHEN a * d = b * c THEN 1 WHEN c = 0 OR b = 0 THEN -1 ELSE a::DOUBLE / b / (c::DOUBLE / d) END AS odds FROM x2)
+    SELECT {', '.join(by)}, a, b, c, d, {_round_sql('p', 4)} AS p_value, {_round_sql('abs(log10(p))', 4)} AS log_score, {_round_sql('odds', 4)} AS odds_ratio, rank() OVER (ORDER BY a DESC) AS support_rank FROM x3"""
+
+
 def _ab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return views.data(spark, sf_dir), views.ranges(spark, sf_dir)
 
@@ -311,35 +330,41 @@ def a13_terms_of_intersection(spark, sf_dir):
     return genes.count_terms(met)
 
 
-@query(f"""WITH u AS (SELECT chrom, i * 2000 AS start, (i + 1) * 2000 AS "end" FROM (SELECT chrom, unnest(range(0, (size - 1) // 2000)) AS i FROM sizes)), q AS (SELECT * FROM b WHERE dataset_id < 60), db AS (SELECT * FROM a WHERE dataset_id <= 5),
+_E2_TABLES = f"""WITH u AS (SELECT chrom, i * 2000 AS start, (i + 1) * 2000 AS "end" FROM (SELECT chrom, unnest(range(0, (size - 1) // 2000)) AS i FROM sizes)), q AS (SELECT * FROM b WHERE dataset_id < 60), db AS (SELECT * FROM a WHERE dataset_id <= 5),
     r AS (SELECT * FROM u a WHERE EXISTS (SELECT 1 FROM q b WHERE {_HIT})),
     x AS (SELECT b.dataset_id, count(DISTINCT (a.chrom, a.start)) AS a FROM r a JOIN db b ON {_HIT} GROUP BY 1), y AS (SELECT b.dataset_id, count(DISTINCT (a.chrom, a.start)) AS u FROM u a JOIN db b ON {_HIT} GROUP BY 1)
-    SELECT dataset_id, coalesce(a, 0) AS a, u - coalesce(a, 0) AS b, (SELECT count(*) FROM r) - coalesce(a, 0) AS c, (SELECT count(*) FROM u) - u - (SELECT count(*) FROM r) + coalesce(a, 0) AS d FROM y LEFT JOIN x USING (dataset_id)""")
+    SELECT dataset_id, coalesce(a, 0) AS a, u - coalesce(a, 0) AS b, (SELECT count(*) FROM r) - coalesce(a, 0) AS c, (SELECT count(*) FROM u) - u - (SELECT count(*) FROM r) + coalesce(a, 0) AS d FROM y LEFT JOIN x USING (dataset_id)"""
+
+
+@query(_E2_TABLES)
 def e2_overlap_tables(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
     return enrichment.overlap_tables(b.where("dataset_id < 60"), a.where("dataset_id <= 5"), transform.tiling(views.sizes(spark, sf_dir), 2000))
 
 
-@query()
+@query(_tested_sql(_E2_TABLES, "dataset_id"))
 def e2_enrich_overlap(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
-    return enrichment.enrich_overlap(b.where("dataset_id < 60"), a.where("dataset_id <= 5"), transform.tiling(views.sizes(spark, sf_dir), 2000))
+    return _tested(enrichment.overlap_tables(b.where("dataset_id < 60"), a.where("dataset_id <= 5"), transform.tiling(views.sizes(spark, sf_dir), 2000)), "dataset_id")
 
 
-@query("""WITH w AS (SELECT floor(sum(size) / 65536 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w),
+_E3_TABLES = """WITH w AS (SELECT floor(sum(size) / 65536 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w),
     q AS (SELECT DISTINCT unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM b JOIN f USING (chrom) WHERE dataset_id < 60),
     e AS (SELECT DISTINCT dataset_id, unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM a JOIN f USING (chrom)),
     s AS (SELECT dataset_id, count(q.tile) AS a, count(*) AS n FROM e LEFT JOIN q USING (tile) GROUP BY 1)
-    SELECT dataset_id, a, n - a AS b, (SELECT count(*) FROM q) - a AS c, 65536 - n - (SELECT count(*) FROM q) + a AS d FROM s""")
+    SELECT dataset_id, a, n - a AS b, (SELECT count(*) FROM q) - a AS c, 65536 - n - (SELECT count(*) FROM q) + a AS d FROM s"""
+
+
+@query(_E3_TABLES)
 def e3_fast_tables(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
     return enrichment.fast_tables(b.where("dataset_id < 60"), a, views.sizes(spark, sf_dir), bits=65536)
 
 
-@query()
+@query(_tested_sql(_E3_TABLES, "dataset_id"))
 def e3_enrich_fast(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
-    return enrichment.enrich_fast(b.where("dataset_id < 60"), a, views.sizes(spark, sf_dir), bits=65536)
+    return _tested(enrichment.fast_tables(b.where("dataset_id < 60"), a, views.sizes(spark, sf_dir), bits=65536), "dataset_id")
 
 
 @query("""WITH w AS (SELECT floor(sum(size) / 65536 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w)
@@ -349,16 +374,19 @@ def e3_signature_sizes(spark, sf_dir):
     return s.groupBy("dataset_id").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("tiles"))
 
 
-@query(f"""WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND b.dataset_id < 20)), g AS (SELECT gene_id, brand AS go_id FROM genes UNION SELECT gene_id, type FROM genes),
+_E4_TABLES = f"""WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND b.dataset_id < 20)), g AS (SELECT gene_id, brand AS go_id FROM genes UNION SELECT gene_id, type FROM genes),
     t AS (SELECT go_id, count(*) AS total, count(*) FILTER (gene_id IN (SELECT gene_id FROM m)) AS a FROM g GROUP BY 1)
-    SELECT go_id, go_id AS go_label, a, total - a AS b, (SELECT count(*) FROM m) - a AS c, (SELECT count(*) FROM genes) - total - (SELECT count(*) FROM m) + a AS d, a / total AS ratio FROM t WHERE a > 0""")
+    SELECT go_id, go_id AS go_label, a, total - a AS b, (SELECT count(*) FROM m) - a AS c, (SELECT count(*) FROM genes) - total - (SELECT count(*) FROM m) + a AS d, a / total AS ratio FROM t WHERE a > 0"""
+
+
+@query(_E4_TABLES)
 def e4_term_tables(spark, sf_dir):
     return genes.term_tables(views.genes(spark, sf_dir), views.ranges(spark, sf_dir).where("dataset_id < 20"))
 
 
-@query()
+@query(_tested_sql(_E4_TABLES, "go_id"))
 def e4_enrich_terms(spark, sf_dir):
-    return enrichment.enrich_terms(views.genes(spark, sf_dir), views.ranges(spark, sf_dir).where("dataset_id < 20"))
+    return _tested(genes.term_tables(views.genes(spark, sf_dir), views.ranges(spark, sf_dir).where("dataset_id < 20")), "go_id")
 
 
 @query("SELECT name, rank() OVER (ORDER BY a DESC) AS support_rank, rank() OVER (ORDER BY log_score DESC) AS log_rank, rank() OVER (ORDER BY odds_ratio DESC) AS odds_rank FROM (SELECT n_name AS name, count(*) AS a, n_regionkey AS log_score, n_nationkey % 4 AS odds_ratio FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_regionkey, n_nationkey)")
