@@ -18,13 +18,12 @@ def overlap_tables(query: DataFrame, databases: DataFrame, universe: DataFrame,
 
     The universe is made disjoint first, but d is counted against its number of regions before that.
     """
-    pieces = transform.disjoin(universe)
-    redefined = interval.intersection(pieces, query.select("chrom", "start", "end"))
     place = ["chrom", "start", "end"]
-    hit = lambda left: interval.pairs(left, databases.select(*place, by)).select(*place, F.col(f"r_{by}").alias(by)).distinct().groupBy(by).agg(F.count("*").alias("n"))
-    a, whole = hit(redefined).withColumnRenamed("n", "a"), hit(pieces).withColumnRenamed("n", "_u")
-    totals = universe.agg(F.count("*").alias("_total")).crossJoin(redefined.agg(F.count("*").alias("_q")))  # one row
-    t = databases.select(by).distinct().join(whole, by, "left").join(a, by, "left").fillna(0, ["_u", "a"]).crossJoin(F.broadcast(totals))
+    pieces = interval.marked(transform.disjoin(universe), query.select(*place), "_in").persist()  # read for its widths, for the join and for its sums
+    met = interval.pairs(pieces, databases.select(*place, by)).select(*place, "_in", F.col(f"r_{by}").alias(by)).distinct()
+    hits = met.groupBy(by).agg(F.count_if("_in").alias("a"), F.count("*").alias("_u"))
+    totals = universe.agg(F.count("*").alias("_total")).crossJoin(pieces.agg(F.count_if("_in").alias("_q")))  # one row
+    t = databases.select(by).distinct().join(hits, by, "left").fillna(0, ["_u", "a"]).crossJoin(F.broadcast(totals))
     b, c = F.col("_u") - F.col("a"), F.col("_q") - F.col("a")
     return t.select(by, "a", b.alias("b"), c.alias("c"), (F.col("_total") - F.col("a") - b - c).alias("d"))
 

@@ -78,6 +78,11 @@ def intersection(data: DataFrame, ranges: DataFrame) -> DataFrame:
     return found.select("_row.*")
 
 
+def marked(data: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
+    """data with a column name: whether the row shares a base with some range."""
+    return _with_reach(data, ranges).select("_row.*", F.coalesce(F.col("_reach") > F.col("_row.start"), F.lit(False)).alias(name))
+
+
 def subtraction(data: DataFrame, ranges: DataFrame) -> DataFrame:
     """The rows of data that share no base with any range."""
     found = _with_reach(data, ranges).where(F.coalesce(F.col("_reach") <= F.col("_row.start"), F.lit(True)))
