@@ -22,7 +22,7 @@ PER_CLASS, POOL = 2000, 4000
 ROUNDS, SURE, EACH_ROUND = 5, 0.95, 200
 RIDGE = 1.0
 SOURCES, LANGUAGES = 64, 16
-CHUNK = 1_000_000
+CHUNK = 300_000
 META = ("lang", "source", "n_chars")
 
 
@@ -33,6 +33,7 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+TEXT_FEATURES, META_FEATURES = len(CLASSES) + 8, SOURCES + LANGUAGES + 3
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -80,12 +81,12 @@ def _texts(column) -> np.ndarray:
     for part in grouped(np.diff(offsets).tolist(), CHUNK):
         edges = offsets[part.start : part.stop + 1]
         parts.append(text_features(data[edges[0] : edges[-1]], edges - edges[0]))
-    return np.concatenate(parts) if parts else np.zeros((0, len(CLASSES) + 8))
+    return np.concatenate(parts) if parts else np.zeros((0, TEXT_FEATURES))
 
 
 def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
     """Of each row: its hashed language and source, a null being a value, and its stated size."""
-    out = np.zeros((len(lang), SOURCES + LANGUAGES + 3))
+    out = np.zeros((len(lang), META_FEATURES))
     rows = np.arange(len(lang))
     out[rows, [zlib.crc32(str(x).encode()) % LANGUAGES for x in lang]] = 1
     out[rows, [LANGUAGES + zlib.crc32(str(x).encode()) % SOURCES for x in source]] = 1
@@ -190,20 +191,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: in
 
     The classes keep the weights they have among all labels. Nulls in lang, source and n_chars are values, null texts empty.
     """
-    columns = [text, *META]
-    rows = sample(docs, labels, "quality", per_class, columns, key).toPandas().sort_values([key, text], kind="stable")
+    rows = _featured(sample(docs, labels, "quality", per_class, [text, *META], key), text, key, ("label",))
     rate = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0] or 0.5
     known = labels.select(F.col(key).alias("_known")).distinct()
     free = docs.select(key).where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("_known"), "left_anti").distinct()
     chosen = free.orderBy(F.xxhash64(key), key).limit(pool)
-    more = docs.select(key, *columns).join(F.broadcast(chosen), key).toPandas().sort_values([key, text], kind="stable")
+    more = _featured(docs.select(key, text, *META).join(F.broadcast(chosen), key), text, key)
+    return Model(rows[1], rows[2], rows[0]["label"].to_numpy(dtype=int), more[1], more[2], float(rate))
 
-    def views(f):
-        as_list = lambda c: [None if x is None or x != x else x for x in f[c].tolist()]
-        return _texts(pa.array(as_list(text), pa.string())), meta_features(*[as_list(c) for c in META])
 
-    a, b = views(rows), views(more)
-    return Model(*a, rows["label"].to_numpy(dtype=int), *b, float(rate))
+def _featured(rows: DataFrame, text: str, key: str, keep: tuple[str, ...] = ()):
+    """Both views' features of a bounded number of rows, in the order of key; texts stay on the executors."""
+    arrow_batches(rows.sparkSession)
+    names = [key, *keep]
+
+    def run(batches):
+        for batch in batches:
+            a, b = _texts(batch.column(0)), meta_features(*[batch.column(i).to_pylist() for i in (1, 2, 3)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], [*names, "_text", "_meta"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    out = rows.select(text, *META, *names).mapInArrow(run, f"{kinds}, _text array<double>, _meta array<double>").toPandas()
+    out = out.iloc[sorted(range(len(out)), key=lambda i: (out[key].iloc[i], list(out["_text"].iloc[i])))]
+    views = [np.array(out[c].tolist(), float).reshape(len(out), n) for c, n in (("_text", TEXT_FEATURES), ("_meta", META_FEATURES))]
+    return out, *views
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
