@@ -3,11 +3,13 @@
 A text's weights are tf * idf over hashes of its shingles of five words. Document frequencies are counted in BUCKETS hashed
 features over all rows, a table of fixed size. Equal texts are one text from the signatures on. A bucket of a band is
 never expanded into pairs: its members are compared with one leader, verified links are joined to classes, and only buckets
-that still hold several classes are looked at again, with other leaders, then member by member where they are small and by finer buckets where they are not.
+that still hold several classes are looked at again, with other leaders, and then with more and more leaders a round, until every two of
+its members of different classes have been compared.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,8 @@ WORDS, THRESHOLD = 5, 0.8
 BUCKET_BITS, RISE = 16, 0.25
 BANDS, ROWS = 16, 4
 SAMPLES, STEP = BANDS * ROWS, 256
-#: Rounds of leaders, and the members up to which a bucket's classes are compared in full afterwards.
-ROUNDS, SMALL = 3, 48
-#: Larger buckets are split by a second band, each of these places further on.
-FINER = (1, 3)
+#: Rounds of one leader a bucket, and the leaders that a bucket which is still mixed has in the round after them; GROWTH times as many in each further one.
+ROUNDS, SMALL, GROWTH = 3, 48, 4
 #: Members of a leader that one comparing group holds at most on average.
 TOGETHER = 400
 CHUNK = 300_000
@@ -146,25 +146,28 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
-    """(key, same, bands): same is equal for equal texts only, bands has no entries for a text without words."""
+    """(key, same, bands, size, weight): same is equal for equal texts only, bands has no entries for a text without words; size is the sum of tf, weight that of tf * idf."""
     arrow_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         sampler = Sampler()
         for batch in batches:
-            lists = []
+            lists, sizes, sums = [], [], []
             for hashes, counts in _each(batch.column(2)):
+                weights = counts * idf.value[_bucket(hashes)]
+                sizes.append(counts.sum())
+                sums.append(weights.sum())
                 if len(hashes):
-                    lists.append(sampler.bands(sampler(hashes, counts * idf.value[_bucket(hashes)])))
+                    lists.append(sampler.bands(sampler(hashes, weights)))
                 else:
                     lists.append(np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             bands = pa.ListArray.from_arrays(offsets, np.concatenate(lists) if lists else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], [key, "same", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], [key, "same", "bands", "size", "weight"])
 
     same = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    return docs.select(key, same.alias("same"), text).mapInArrow(run, f"`{key}` {kind}, same binary, bands array<long>")
+    return docs.select(key, same.alias("same"), text).mapInArrow(run, f"`{key}` {kind}, same binary, bands array<long>, size long, weight double")
 
 
 def _alike(mine: np.ndarray, theirs: np.ndarray, both: np.ndarray, at: np.ndarray) -> bool:
@@ -226,44 +229,78 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     idf = spark.sparkContext.broadcast(idf_of(document_frequencies(rows)))  # BUCKETS numbers
     signed = work.put(signatures(rows, idf, "id", "text"), "signed")
-    one = signed.where("id IS NOT NULL").groupBy("same").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
+    one = signed.where("id IS NOT NULL").groupBy("same").agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in ("bands", "size", "weight")])
     one = work.put(one, "one")
-    members = one.select("node", F.posexplode("bands").alias("band", "bucket"))
+    members = one.select("node", "size", "weight", F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("x"), "node")).alias("top")).where("n > 1")
-    shared = work.put(members.join(sizes, ["band", "bucket"]).select("node", "band", "bucket", "n", F.col("top.node").alias("top")), "shared")
+    shared = work.put(members.join(sizes, ["band", "bucket"]).select("node", "size", "weight", "band", "bucket", "n", F.col("top.node").alias("top")), "shared")
     nodes = shared.select("node").distinct()
     texts = work.put(rows.join(nodes, rows["id"] == nodes["node"], "left_semi").groupBy(F.col("id").alias("node")).agg(F.max("text").alias("text")), "texts")
     # first round: one leader for each text, that of its largest bucket
     first = shared.groupBy("node").agg(F.max(F.struct("n", "band", "top")).alias("m")).select(F.col("m.top").alias("a"), F.col("node").alias("b")).where("a <> b")
     copies = signed.where("id IS NOT NULL").join(one.select("same", "node"), "same").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    edges = work.put(verify(first, texts, idf), "edges-0")
-    done = edges
-    for k in range(1, ROUNDS + 2):
-        roots = work.put(components(done, work, f"cc{k}"), f"roots-{k}")
-        now = shared.select("node", "band", "bucket", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = _leaders(now, k) if k <= ROUNDS else _finish(now)
-        pairs = work.put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{k}")
+    roots, seen, led = None, work.put(first, "pairs-0"), None
+    found = work.put(verify(seen, texts, idf), "edges-0")
+    for k in itertools.count(1):
+        if roots is None or not found.isEmpty():
+            links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = work.put(components(links, work, f"cc{k}"), f"roots-{k}")
+        now = shared.select("node", "size", "weight", "band", "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if k <= ROUNDS:
+            pairs = _leaders(now, k)
+        else:
+            now = work.put(_mixed(now.join(led, "node", "left_anti") if led else now), f"mixed-{k}")
+            if now.isEmpty():
+                break
+            leading = work.put(_leading(now, k, SMALL * GROWTH ** (k - ROUNDS - 1)), f"led-{k}")
+            led = led.unionByName(leading) if led else leading
+            pairs = _led(now, leading)
+        pairs = work.put(_once(pairs).join(_ends(seen).select("_low", "_high"), ["_low", "_high"], "left_anti").select("a", "b"), f"pairs-{k}")
+        seen = seen.unionByName(pairs)
         found = work.put(verify(pairs, texts, idf), f"edges-{k}")
-        done = done.unionByName(found)
-        if k <= ROUNDS and pairs.isEmpty():
-            break
-    roots = work.put(components(done.unionByName(copies), work, "cc"), "roots")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(copies)
+    roots = work.put(components(links, work, "cc"), "roots")
     out = rows.select("id").join(roots, rows["id"] == roots["node"], "left")
     return out.select(F.col("id").alias(key), F.coalesce("root", "id").alias("class_id"))
 
 
-def _finish(now: DataFrame) -> DataFrame:
-    """All pairs of different classes in buckets of up to SMALL members; larger ones are split by a second band first, then led."""
-    mixed = now.groupBy("band", "bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    left = now.join(mixed.select("band", "bucket"), ["band", "bucket"])
-    small = left.where(F.col("n") <= SMALL)
-    other = small.select("band", "bucket", F.col("node").alias("b"), F.col("root").alias("_root"))
-    pairs = small.join(other, ["band", "bucket"]).where("root < _root").select(F.col("node").alias("a"), "b")
-    large = left.where(F.col("n") > SMALL)
-    # a text's value in a second band, for the bands FINER places further on
-    second = large.select("node", F.explode(F.array(*[F.struct(F.pmod(F.col("band") - k, F.lit(BANDS)).alias("band"), F.lit(k).alias("step"), F.col("bucket").alias("bucket2")) for k in FINER])).alias("x"))
-    finer = large.join(second.select("node", "x.*"), ["node", "band"])
-    return pairs.unionByName(_leaders(finer, 9, ("band", "bucket", "step", "bucket2")))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"_low": F.least("a", "b"), "_high": F.greatest("a", "b")})
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, with its lower and higher end; the leader stays first where all its rows say so."""
+    return _ends(pairs).groupBy("_low", "_high").agg(F.min(F.struct("a", "b")).alias("p")).select("_low", "_high", "p.*")
+
+
+def _mixed(now: DataFrame) -> DataFrame:
+    """The members of buckets of several classes, with their bucket's members (m), those outside its largest class (outside) and that class (main)."""
+    kinds = now.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    buckets = kinds.groupBy("band", "bucket").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    return now.join(buckets.select("band", "bucket", "m", (F.col("m") - F.col("x.n")).alias("outside"), F.col("x.root").alias("main")), ["band", "bucket"])
+
+
+def _leading(mixed: DataFrame, salt: int, most: int) -> DataFrame:
+    """(node): about most members of each bucket outside its largest class, all of them where they are no more.
+
+    A node that leads is compared in all its mixed buckets and then leaves them, so a bucket ends when one class is left.
+    """
+    draw = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    return mixed.where((F.col("root") != F.col("main")) & (draw * F.col("outside") < F.lit(float(most)))).select("node").distinct()
+
+
+def _led(mixed: DataFrame, leading: DataFrame) -> DataFrame:
+    """Pairs of the leading nodes with the members of other classes in their buckets, dealt to groups of TOGETHER members.
+
+    Left out are only pairs whose sums of weights alone keep their similarity below THRESHOLD by either weighting.
+    """
+    groups = F.ceil(F.col("m") / TOGETHER).cast("int")
+    columns = ["band", "bucket", "g", "node", "root", "size", "weight"]
+    members = mixed.withColumn("g", F.pmod(F.xxhash64("node"), groups).cast("int")).select(columns)
+    ours = mixed.join(leading, "node").withColumn("g", F.explode(F.sequence(F.lit(0), groups - 1))).select(columns)
+    ours = ours.select("band", "bucket", "g", *[F.col(c).alias(f"_{c}") for c in columns[3:]])
+    close = lambda c: F.least(c, f"_{c}") >= F.greatest(c, f"_{c}") * (THRESHOLD - 1e-6)
+    return members.join(ours, ["band", "bucket", "g"]).where((F.col("root") != F.col("_root")) & (close("size") | close("weight"))).select(F.col("_node").alias("a"), F.col("node").alias("b"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

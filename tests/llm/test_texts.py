@@ -265,6 +265,23 @@ def test_large_buckets_are_finished(spark, monkeypatch):
     assert {r["class_id"] for r in neardup.classes(docs(spark, rows)).collect()} == {0}
 
 
+def test_no_link_is_lost_in_large_mixed_buckets(spark):
+    """One boilerplate with two to five edits in each of 300 copies: buckets hold most of them, and few pairs reach 0.8."""
+    draw, n, words = random.Random(17), 300, 200
+    rows, masks = [], np.ones((n, words - 4), np.int64)
+    for i in range(n):
+        own = [f"w{k}" for k in range(words)]
+        for k in draw.sample(range(words), draw.randint(2, 5)):
+            own[k] = f"own{i}x{k}"
+            masks[i, max(k - 4, 0) : k + 1] = 0
+        rows.append((i, " ".join(own)))
+    shared = masks @ masks.T
+    alike = shared >= 0.8 * (2 * (words - 4) - shared)
+    found = np.array([r["class_id"] for r in neardup.classes(docs(spark, rows)).orderBy("doc_id").collect()])
+    x, y = np.nonzero(alike)
+    assert 100 < (len(x) - n) / 2 < 10_000 and (found[x] == found[y]).all()
+
+
 def test_components(spark):
     draw = random.Random(3)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7)]
