@@ -1,13 +1,12 @@
-"""Removal of long repeated byte strings by a logarithmic family of sparse suffix arrays.
+"""Removal of long repeated byte strings by hashed runs at content-defined anchors, in place of suffix arrays.
 
 Only some suffixes are indexed: each string of MATCH bytes is represented by the suffix at its anchor, the place of the least
 hash among its GRAM-byte strings, which depends on the string alone and so is the same in every copy. Neighbouring strings mostly share
 an anchor; an entry stands for such a run of strings: key is the hash of the suffix's first GRAM bytes, same the hash of all bytes of the run and
-of the anchor's place in it, (doc, copy, start, n) the place of the run. An array is a table of entries in the order of
-(key, same), so suffixes with equal beginnings are neighbours; the order of different beginnings has no use here, hashes stand in for it.
+of the anchor's place in it, (doc, copy, start, n) the place of the run. An array is a table of entries that is not
+sorted: the order of suffixes has no use here, as only equal strings matter, so hashes stand in for it.
 
-Batches of documents come in the order of doc. Each gets its array, which is merge-scanned against all levels (a sort-merge by
-key and same): entries whose bytes occurred before are matches as a whole, the others become a new level, and levels of one size are merged. Runs
+Batches of documents come in the order of doc. Each gets its array, which is grouped with all levels by key and same: entries whose bytes occurred before are matches as a whole, the others become a new level, and levels of one size become one by union. Runs
 with equal keys but different bytes, at the edges of copies, are compared string by string at the end.
 """
 
