@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; texts can be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
@@ -22,11 +23,21 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def join_hot(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, total: int, share: int = 1000) -> DataFrame:
+    """rows inner-joined with per_key, which has one row for each key and the number n of the key's rows; total is the sum of n, or more.
+
+    Keys with more than a share-th of total are fewer than share: they are broadcast, so their rows stay where they are; only the others are shuffled.
+    """
+    most = max(total // share, 1)
+    hot, cold = F.broadcast(per_key.where(F.col(n) > most)), per_key.where(F.col(n) <= most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
+
+
 class Work:
     """A folder of its own below spark.checkpoint.dir (shared by all executors), for tables that cut lineage."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.released = spark, 0.0
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
@@ -49,10 +60,22 @@ class Work:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished queries."""
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(path):
+            self.drop(*[s.getPath().getName() for s in files.listStatus(path) if s.getPath().getName() not in names])
+
+    def release(self, every: float = 15.0) -> None:
+        """Lets Spark's cleaner delete the shuffle files of finished queries; at most once in so many seconds."""
         import gc
+        import time
 
+        if time.monotonic() - self.released < every:
+            return
+        self.released = time.monotonic()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

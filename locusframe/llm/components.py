@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Work
+from .common import Work, join_hot
 
 
 def components(edges: DataFrame, work: Work, name: str = "cc") -> DataFrame:
@@ -17,11 +17,11 @@ def components(edges: DataFrame, work: Work, name: str = "cc") -> DataFrame:
     split by the adaptive planner. An empty table gives no rows; loops and repeated edges do nothing.
     """
     now = work.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    sign = None
+    total, sign = now.count(), None
     for i in range(1, 200):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, least, ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # u > v holds now: each node and its smaller neighbours link to the least of them
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -30,6 +30,7 @@ def components(edges: DataFrame, work: Work, name: str = "cc") -> DataFrame:
         links = small.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
         now = work.put(links, f"{name}-{i}")
         work.drop(f"{name}-{i - 1}")
+        total = seen.get["n"]
         if seen.get == sign:
             break
         sign = seen.get

@@ -146,8 +146,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the least doc_id of its class of exact and near copies."""
     found = neardup.classes(table(spark, sf_dir, "documents"))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 @query()
