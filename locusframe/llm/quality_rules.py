@@ -1,8 +1,8 @@
 """Quality rules with thresholds that follow the data: quantile sketches by language and source; DataFrame functions only.
 
-A sketch is a histogram of whole values from 0 to 1000, the larger ones in the last bucket: a bounded number of counts, merged by adding them up, the
-same whatever the order and the partitions. Quantiles of a group come from its own sketch; a group with fewer rows than MIN_ROWS
-uses its language's merged sketch, and that one's fallback is the sketch of all rows.
+A sketch counts the whole values of a metric: values of four and more digits by their first three digits. So it has a bounded number of counts,
+is merged by adding them up and is the same whatever the order and the partitions. A group's threshold is the value at the rank TAIL of its own
+sketch, drawn to its language's threshold, and that one to the one of all rows, as if by PRIOR further rows: the fewer rows a group has, the more.
 """
 
 from __future__ import annotations
@@ -14,18 +14,17 @@ from .common import Work
 
 SPACE = r"[\x20\x09-\x0D]+"
 WIDTH = 8
-MIN_ROWS = 100
-#: Metric -> least distance from the upper quartile to the threshold, in the metric's units.
-SPREAD = {"symbols": 30, "dup_lines": 100, "repeats": 100, "word_length": 40}
-#: The threshold is the upper quartile plus this many interquartile ranges, or the least distance if that is more.
-FENCE = 3
-LAST = 1000
+METRICS = ("symbols", "dup_lines", "repeats", "word_length")
+#: The rank of the threshold: a rule rejects no more than the rest of a group, in hundredths.
+TAIL = 97
+#: Rows that a group's parent counts for.
+PRIOR = 100
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of its whole texts (null: none).
 
-    Repeated windows are found by 64-bit hashes, built by doubling; only texts with a repeated hash are looked at again.
+    Repeated windows are found by 64-bit hashes, built by doubling; equal hashes count as equal windows.
     """
     pairs = lambda a, n, d: F.zip_with(F.slice(a, F.lit(1), n - d), F.slice(a, F.lit(1 + d), n - d), lambda x, y: F.xxhash64(x, y))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -52,15 +51,21 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _metrics() -> dict[str, Column]:
-    """Whole numbers from 0 to LAST: shares in thousandths, the mean word length in tenths; 0 where there is nothing to divide by."""
-    share = lambda a, b, k: F.coalesce(F.expr(f"least({k} * {a} div nullif({b}, 0), {LAST})"), F.lit(0)).cast("int")
-    return {"symbols": share("n_symbols", "word_chars", 1000), "dup_lines": share("n_dup_lines", "n_lines", 1000), "repeats": share("n_repeat_words", "n_words", 1000), "word_length": share("word_chars", "n_words", 10)}
+    """Whole numbers: shares in thousandths, the mean word length in tenths, of larger ones the first three digits; 0 where there is nothing to divide by."""
+    whole = lambda a, b, k: f"coalesce({k} * {a} div nullif({b}, 0), 0L)"
+    values = {"symbols": whole("n_symbols", "word_chars", 1000), "dup_lines": whole("n_dup_lines", "n_lines", 1000), "repeats": whole("n_repeat_words", "n_words", 1000), "word_length": whole("word_chars", "n_words", 10)}
+    return {m: F.expr(f"{v} - {v} % cast(pow(10, greatest(length(cast({v} AS string)) - 3, 0)) AS bigint)") for m, v in values.items()}
+
+
+def base_failed() -> Column:
+    """Under 20 words, or more than 30 % of the words in repeated windows."""
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, metric, bucket, n): the sketch of every metric for every language and source; nulls are values."""
+    """(lang, source, metric, bucket, n): the sketch of every metric for every language and source, of rows that don't fail the base rules; nulls are values."""
     rows = F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("bucket")) for name, value in _metrics().items()])
-    flat = measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(rows).alias("m"))
+    flat = measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(rows).alias("m"))
     return flat.groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
@@ -68,20 +73,27 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketch: DataFrame, *by: str) -> DataFrame:
-    """(by, rows, one threshold for each metric) of each group: upper quartile plus its fence."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by, metric, rows, q): of each group the least bucket that TAIL hundredths of its rows don't exceed."""
     up = Window.partitionBy(*by, "metric").orderBy("bucket")
     whole = Window.partitionBy(*by, "metric")
     ranked = sketch.withColumn("_to", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(whole))
-    least = lambda q: F.min(F.when(F.col("_to") * 4 >= F.col("_all") * q, F.col("bucket")))
-    quartiles = ranked.groupBy(*by, "metric").agg(least(1).alias("_q1"), least(3).alias("_q3"), F.max("_all").alias("rows"))
-    spread = F.create_map(*[F.lit(x) for pair in SPREAD.items() for x in pair])
-    fence = F.col("_q3") + F.greatest((F.col("_q3") - F.col("_q1")) * FENCE, spread[F.col("metric")])
-    cut = quartiles.select(*by, "metric", "rows", fence.alias("cut"))
-    return cut.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("metric") == name, F.col("cut"))).alias(f"max_{name}") for name in SPREAD])
+    return ranked.groupBy(*by, "metric").agg(F.min(F.when(F.col("_to") * 100 >= F.col("_all") * TAIL, F.col("bucket"))).alias("q"), F.max("_all").alias("rows"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, max_<metric>...): every group's thresholds."""
+    drawn = lambda n, q, parent: (n * q + PRIOR * parent) / (n + PRIOR)
+    whole = quantiles(merged(sketch), *()).select("metric", F.col("q").cast("double").alias("_whole"))
+    tongue = quantiles(merged(sketch, "lang"), "lang").join(F.broadcast(whole), "metric")  # one row a metric
+    tongue = tongue.select(F.col("lang").alias("_lang"), F.col("metric").alias("_metric"), drawn(F.col("rows"), F.col("q"), F.col("_whole")).alias("_tongue"))
+    own = quantiles(sketch, "lang", "source")
+    own = own.join(tongue, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
+    own = own.withColumn("cut", drawn(F.col("rows"), F.col("q"), F.col("_tongue")))
+    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == name, F.col("cut"))).alias(f"max_{name}") for name in METRICS])
 
 
-def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """docs' doc_id, the measures, base_failed and kept.
 
     base_failed: under 20 words, or more than 30 % of the words in repeated windows. kept: not base_failed, and no metric above its group's
@@ -91,18 +103,9 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     work = Work(docs.sparkSession)
     columns = docs.select("doc_id", "lang", "source", "text")
     measured = work.put(text_measures(columns).drop("text"), "measured")
-    sketch = work.put(sketches(measured), "sketch")
-    own = thresholds(sketch, "lang", "source").where(F.col("rows") >= min_rows)
-    tongue = thresholds(merged(sketch, "lang"), "lang").where(F.col("rows") >= min_rows)
-    whole = thresholds(merged(sketch.withColumn("_g", F.lit(0)), "_g"), "_g")
-    groups = sketch.select("lang", "source").distinct()
-    g = groups.join(own.alias("o"), F.col("o.lang").eqNullSafe(groups["lang"]) & F.col("o.source").eqNullSafe(groups["source"]), "left")
-    g = g.join(tongue.alias("t"), F.col("t.lang").eqNullSafe(groups["lang"]), "left").withColumn("_g", F.lit(0)).join(whole.alias("w"), "_g")
-    cuts = g.select(groups["lang"].alias("_lang"), groups["source"].alias("_source"), *[F.coalesce(f"o.max_{m}", f"t.max_{m}", f"w.max_{m}").alias(f"max_{m}") for m in SPREAD])
-    cuts = work.put(cuts, "cuts")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    fine = ~base
+    cuts = work.put(thresholds(work.put(sketches(measured), "sketch")).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "cuts")
+    fine = ~base_failed()
     for name, value in _metrics().items():
-        fine &= value <= F.col(f"max_{name}")
-    joined = measured.join(cuts, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), fine.alias("kept"))
+        fine &= F.coalesce(value <= F.col(f"max_{name}"), F.lit(True))
+    joined = measured.join(cuts, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), fine.alias("kept"))

@@ -69,32 +69,32 @@ _METRICS = {"symbols": ("1000 * n_symbols", "word_chars"), "dup_lines": ("1000 *
 
 
 def _rules_sql() -> str:
-    value = {m: f"coalesce(least({a} // nullif({b}, 0), 1000), 0)" for m, (a, b) in _METRICS.items()}
-    flat = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {v} AS v, {quality_rules.SPREAD[m]} AS spread FROM f" for m, v in value.items())
+    whole = {m: f"coalesce({a} // nullif({b}, 0), 0)::BIGINT" for m, (a, b) in _METRICS.items()}
+    value = {m: f"({v} - {v} % (10 ** greatest(length({v}::VARCHAR) - 3, 0))::BIGINT)" for m, v in whole.items()}
+    flat = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {v} AS v FROM f WHERE NOT base_failed" for m, v in value.items())
 
-    def cuts(name: str, by: str, least: int) -> str:
-        w = f"PARTITION BY {by}, metric"
-        return f"""{name} AS (SELECT {by}, metric, q3 + greatest({quality_rules.FENCE} * (q3 - q1), max(spread)) AS cut FROM (
-            SELECT *, min(CASE WHEN r * 4 >= n THEN v END) OVER ({w}) AS q1, min(CASE WHEN r * 4 >= 3 * n THEN v END) OVER ({w}) AS q3 FROM (
-                SELECT *, row_number() OVER ({w} ORDER BY v) AS r, count(*) OVER ({w}) AS n FROM flat)) WHERE n >= {least} GROUP BY {by}, metric, q1, q3)"""
+    def quantiles(name: str, *by: str) -> str:
+        w = f"PARTITION BY {', '.join([*by, 'metric'])}"
+        return f"""{name} AS (SELECT {', '.join([*by, 'metric'])}, min(v) FILTER (r * 100 >= n * {quality_rules.TAIL}) AS q, max(n) AS n
+            FROM (SELECT *, row_number() OVER ({w} ORDER BY v) AS r, count(*) OVER ({w}) AS n FROM flat) GROUP BY ALL)"""
 
-    tests = " AND ".join(f"{v} <= (SELECT cut FROM best b WHERE b.metric = '{m}' AND b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source)" for m, v in value.items())
+    drawn = lambda t, parent: f"({t}.n * {t}.q + {quality_rules.PRIOR} * {parent})::DOUBLE / ({t}.n + {quality_rules.PRIOR})"
+    tests = " AND ".join(f"coalesce({v} <= (SELECT cut FROM best b WHERE b.metric = '{m}' AND b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source), true)" for m, v in value.items())
     return rf"""
     WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
     g AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
     r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
     l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
-    f AS (SELECT w.doc_id, w.lang, w.source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (SELECT w.doc_id, w.lang, w.source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
-        FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+        FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))),
     flat AS ({flat}),
-    {cuts('o', 'lang, source', quality_rules.MIN_ROWS)}, {cuts('t', 'lang', quality_rules.MIN_ROWS)}, {cuts('a', '1', 0).replace('SELECT 1, metric', 'SELECT metric').replace('PARTITION BY 1, metric', 'PARTITION BY metric').replace('GROUP BY 1, metric', 'GROUP BY metric')},
-    best AS (SELECT k.lang, k.source, a.metric, coalesce(o.cut, t.cut, a.cut) AS cut FROM (SELECT DISTINCT lang, source FROM f) k CROSS JOIN a
-        LEFT JOIN o ON o.metric = a.metric AND o.lang IS NOT DISTINCT FROM k.lang AND o.source IS NOT DISTINCT FROM k.source
-        LEFT JOIN t ON t.metric = a.metric AND t.lang IS NOT DISTINCT FROM k.lang)
+    {quantiles('o', 'lang', 'source')}, {quantiles('t', 'lang')}, {quantiles('a')},
+    tc AS (SELECT t.lang, t.metric, {drawn('t', 'a.q::DOUBLE')} AS cut FROM t JOIN a USING (metric)),
+    best AS (SELECT o.lang, o.source, o.metric, {drawn('o', 'tc.cut')} AS cut FROM o JOIN tc ON tc.metric = o.metric AND tc.lang IS NOT DISTINCT FROM o.lang)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM (
-        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {tests} AS fine FROM f)"""
+        SELECT *, {tests} AS fine FROM f)"""
 
 
 @query(_rules_sql())
