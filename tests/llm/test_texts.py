@@ -206,10 +206,11 @@ def test_templates_and_slots(spark, awkward):
     ]
     bench = spark.createDataFrame([(1, item), (2, "one two"), (3, None), (4, "1 2 3 4 5 6 7 8 9 10"), (5, "tiny item of five")], "item_id long, text string")
     out = {r["doc_id"]: r for r in decontam.contaminated(wide(docs(spark, texts)), bench).collect()}
-    assert set(out) == {1, 2, 3, 5} or set(out) == {1, 2, 3}
+    assert set(out) == {1, 2, 3, 5, 6}  # 5 and 6 hold the words as they stand
     assert not out[1]["reparameterised"] and out[2]["reparameterised"]
-    twice = spark.createDataFrame([(1, "Ask Anna what Anna gave to Paul before Anna left the small town of her birth")], "item_id long, text string")
-    changed = [(1, "Ask Berta what Berta gave to Hans before Berta left the small town of her birth"), (2, "Ask Berta what Clara gave to Hans before Doris left the small town of her birth")]
+    question = "Ask {} what {} gave to Paul before {} left the small town where {} was born and {} went to school"
+    twice = spark.createDataFrame([(1, question.format(*["Anna"] * 5))], "item_id long, text string")
+    changed = [(1, question.format(*["Berta"] * 5)), (2, question.format("Berta", "Clara", "Doris", "Emma", "Frida"))]
     found = [r["doc_id"] for r in decontam.contaminated(docs(spark, changed), twice).collect()]
     assert found == [1]
     assert decontam.contaminated(awkward, bench).count() == 0
@@ -217,6 +218,32 @@ def test_templates_and_slots(spark, awkward):
     assert decontam.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_passages_with_an_edit_and_short_items(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    item = " ".join(words)
+    counted = "sold 12 crates of ripe plums to the old harbour market before noon and kept 12 back for those who came late that day"
+    bench = spark.createDataFrame([(1, item), (2, "tiny item of five words"), (3, "Paris London Rome Berlin Madrid"), (4, "one two"), (5, counted)], "item_id long, text string")
+    rows = [
+        (1, "so " + " ".join(words[:10]) + " extra " + " ".join(words[10:]) + " end"),  # a word put in
+        (2, "so " + " ".join(words[:9]) + " " + " ".join(words[10:])),  # a word left out
+        (3, "so " + " ".join(words[:9]) + " and then something else"),
+        (4, "there is a tiny item of five words here"),
+        (5, "a tiny item of six words"),
+        (6, "we saw Paris London Rome Berlin Madrid in a week"),
+        (7, "one two"),
+        (8, counted.replace("kept 12", "kept 40")),  # 14 words as they stand, then a number that contradicts an earlier one
+        (None, item),
+        (None, "nothing here"),
+        (9, item), (9, "nothing"), (9, item),
+        (10, ("filler " * 200_000) + item),
+    ]
+    out = {r["doc_id"]: r for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert set(out) == {1, 2, 4, 6, 8, 9, 10, None}
+    assert out[1]["matched_words"] == 20 and out[2]["matched_words"] == 19 and out[10]["items"] == [1] and out[8]["matched_words"] >= 14
+    assert decontam.contaminated(docs(spark, rows).limit(0), bench).count() == 0
+    assert [r["doc_id"] for r in decontam.clean(docs(spark, rows), bench).orderBy("doc_id").collect()] == [3, 5, 7]
+
+
 # near duplicates
 
 
