@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, RangeHash, arrow_batches, grouped, lowered, text_bytes, word_spans
-from .labelled import sample
+from .labelled import one_row_each, sample
 
 #: Labelled rows of each class and unlabelled rows that the models learn from, at most.
 PER_CLASS, POOL = 2000, 4000
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: in
     known = labels.select(F.col(key).alias("_known")).distinct()
     free = docs.select(key).where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("_known"), "left_anti").distinct()
     chosen = free.orderBy(F.xxhash64(key), key).limit(pool)
-    more = _featured(docs.select(key, text, *META).join(F.broadcast(chosen), key), text, key)
+    more = _featured(one_row_each(docs.select(key, text, *META).join(F.broadcast(chosen), key), key), text, key)
     return Model(rows[1], rows[2], rows[0]["label"].to_numpy(dtype=int), more[1], more[2], float(rate))
 
 

@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language, in sorted hash arrays.
 
-Training counts all 4-grams of all training texts as Spark aggregates; only distinct 4-grams come to the driver, and where a
-model would exceed MAX_GRAMS entries those with the lowest counts go first. Scoring looks up each 4-gram once for all languages.
+Training counts all 4-grams of the training texts as Spark aggregates; the distinct ones are the models. At most about PER_LANGUAGE texts of
+a language are learned from, chosen by a hash: the bound of the models' size. Every tenth training text is held back from the
+models: how sharply cross-entropies tell languages apart, and from which cross-entropy on a text is rejected, are fitted on those.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, mix
 
 ORDER = 4
-#: Entries of all languages' models together; rarer 4-grams are left out of larger ones.
-MAX_GRAMS = 4_000_000
-#: A language's texts whose cross-entropy lies above this quantile of its training texts' are marked rejected.
+#: Texts of each language that the models learn from: all up to this number, beyond it a share by hash that gives about as many.
+PER_LANGUAGE = 1_000_000
+#: One training text in so many is held back for calibration.
+HELD_BACK = 10
+#: A language's texts whose cross-entropy lies above this quantile of its held-back texts' are marked rejected.
 REJECT_ABOVE = 0.999
-SHARPNESS = 12.0
+#: Factors of cross-entropies that calibration chooses from.
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0)
 SPACE = 32
 _U = np.uint64
 
@@ -173,22 +177,26 @@ class Scorer:
         return -sums / np.maximum(sizes, 1)[:, None], has
 
 
-def fit(training: DataFrame, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS) -> dict[str, Model]:
-    """A model for each language among the training rows; rows without a language or a 4-gram teach nothing."""
-    counts = count_grams(training, lang, text).persist()
-    least = 1
-    while counts.where(F.col("n") >= least).count() > max_grams:
-        least *= 2
-    rows = counts.where(F.col("n") >= least).toArrow()
-    counts.unpersist()
-    langs, keys, n = (rows.column(i).to_numpy() for i in range(3))
+def fit(training: DataFrame, lang: str = "lang", text: str = "text", per_language: int = PER_LANGUAGE) -> dict[str, Model]:
+    """A model for each language from about per_language of its rows, or all if there are no more; rows without a language or a 4-gram teach nothing."""
+    known = training.where(F.col(lang).isNotNull())
+    sizes = known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))  # one row a language
+    draw = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    rows = known.join(F.broadcast(sizes), F.col(lang) == F.col("_lang")).where(draw * F.col("_n") < per_language)
+    found = count_grams(rows, lang, text).toArrow()
+    langs, keys, n = (found.column(i).to_numpy() for i in range(3))
     return {l: Model(keys[langs == l].view(np.uint64), n[langs == l]) for l in sorted(set(langs))}
 
 
+def held_back(text: str = "text") -> Column:
+    """Whether a training text is kept for calibration, by a hash of the text, so copies are on one side."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(5)), F.lit(HELD_BACK)) == 0
+
+
 def identify(docs: DataFrame, models: dict[str, Model], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, keep, lang_pred, score, entropy): the language of the lowest mean cross-entropy of each whole text.
+    """(key, keep, lang_pred, score, entropy, rest): the language of the lowest mean cross-entropy of each whole text.
 
-    Equal ones go to the first name. score is the language's share of the sharpened likelihoods. Null texts and texts without a
+    Equal ones go to the first name. rest are the other languages' cross-entropies above the lowest; score is the language's share of the likelihoods at sharpness 1. Null texts and texts without a
     letter, and all texts if there is no model, are 'und' with score 0 and no entropy. Repeated rows and null keys are
     treated alike; further columns are not read.
     """
@@ -200,7 +208,7 @@ def identify(docs: DataFrame, models: dict[str, Model], key: str = "doc_id", tex
         scorer = Scorer(shared.value) if names else None
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
-            pred, score, best = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+            pred, score, best, rest = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), [None] * len(texts)
             if scorer and texts:
                 parts = []
                 step = 0
@@ -214,17 +222,32 @@ def identify(docs: DataFrame, models: dict[str, Model], key: str = "doc_id", tex
                 h, has = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 first = h.argmin(axis=1)
                 low = h[np.arange(len(h)), first]
-                share = 1 / np.exp(-SHARPNESS * (h - low[:, None])).sum(axis=1)
+                share = 1 / np.exp(low[:, None] - h).sum(axis=1)
                 for i in np.flatnonzero(has).tolist():
-                    pred[i] = names[first[i]]
+                    pred[i], rest[i] = names[first[i]], np.delete(h[i] - low[i], first[i])
                 score, best = np.where(has, share, 0.0), np.where(has, low, np.nan)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred), pa.array(score), pa.array(best, from_pandas=True)], [key, *keep, "lang_pred", "score", "entropy"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred), pa.array(score), pa.array(best, from_pandas=True), pa.array(rest, pa.list_(pa.float64()))], [key, *keep, "lang_pred", "score", "entropy", "rest"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return docs.select(text, key, *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, entropy double")
+    return docs.select(text, key, *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, entropy double, rest array<double>")
+
 
+def _share(sharpness: float) -> Column:
+    return 1 / F.aggregate("rest", F.lit(1.0), lambda s, x: s + F.exp(-sharpness * x))
 
-def with_rejection(found: DataFrame, is_training: Column, above: float = REJECT_ABOVE) -> DataFrame:
-    """found with rejected: its entropy is above this quantile of the training texts of the same predicted language."""
-    limits = found.where(is_training & F.col("entropy").isNotNull()).groupBy("lang_pred").agg(F.percentile_approx("entropy", above, 10000).alias("_limit"))
-    return found.join(F.broadcast(limits), "lang_pred", "left").withColumn("rejected", F.col("entropy").isNull() | F.coalesce(F.col("entropy") > F.col("_limit"), F.lit(False))).drop("_limit")
+
+def calibrated(found: DataFrame, fold: Column, lang: str = "lang", above: float = REJECT_ABOVE) -> DataFrame:
+    """found with score at the sharpness that makes the languages of the rows in fold likeliest, and rejected; without entropy and rest.
+
+    rejected: a text without a letter, or its cross-entropy is above this quantile of the fold's texts of the same predicted language. Without rows
+    in fold the score stays and only texts without a letter are rejected.
+    """
+    rows = found.where(fold & F.col("entropy").isNotNull() & F.col(lang).isNotNull())
+    right = F.col("lang_pred") == F.col(lang)
+    likely = lambda p: F.log(F.greatest(F.when(right, p).otherwise((1 - p) / F.greatest(F.size("rest"), F.lit(1))), F.lit(1e-12)))
+    sums = rows.agg(*[F.sum(likely(_share(k))).alias(f"s{i}") for i, k in enumerate(SHARPNESS)]).first()  # one row
+    best = max((i for i in range(len(SHARPNESS)) if sums[i] is not None), key=lambda i: sums[i], default=None)
+    score = F.col("score") if best is None else F.when(F.col("entropy").isNotNull(), _share(SHARPNESS[best])).otherwise(0.0)
+    limits = rows.groupBy("lang_pred").agg(F.percentile_approx("entropy", above, 10000).alias("_limit"))  # one row a language
+    out = found.join(F.broadcast(limits), "lang_pred", "left").withColumn("score", score)
+    return out.withColumn("rejected", F.col("entropy").isNull() | F.coalesce(F.col("entropy") > F.col("_limit"), F.lit(False))).drop("_limit", "entropy", "rest")

@@ -129,10 +129,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; every third document, by checksum, is held out of training."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(3) == 1, F.lit(False))
-    docs = docs.withColumn("held_out", held_out)
-    models = langid.fit(docs.where(~F.col("held_out")))
-    found = Work(spark).put(langid.identify(docs, models, keep=("held_out",)), "found")
-    return langid.with_rejection(found, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    docs = docs.withColumns({"held_out": held_out, "fold": ~held_out & langid.held_back()})
+    models = langid.fit(docs.where(~F.col("held_out") & ~F.col("fold")))
+    found = Work(spark).put(langid.identify(docs, models, keep=("held_out", "fold", "lang")), "found")
+    return langid.calibrated(found, F.col("fold")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 @query()
