@@ -26,11 +26,15 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def join_hot(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, total: int, share: int = 1000) -> DataFrame:
     """rows inner-joined with per_key, which has one row for each key and the number n of the key's rows; total is the sum of n, or more.
 
-    Keys with more than a share-th of total are fewer than share: they are broadcast, so their rows stay where they are; only the others are shuffled.
+    Keys with more than a share-th of total are fewer than share: their rows stay where they are and meet a broadcast, only the others are shuffled.
+    per_key is read twice, so it should be a table or cheap.
     """
     most = max(total // share, 1)
-    hot, cold = F.broadcast(per_key.where(F.col(n) > most)), per_key.where(F.col(n) <= most)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
+    code = F.xxhash64(*key)
+    hot = [r[0] for r in per_key.where(F.col(n) > most).select(code).collect()]  # fewer than share numbers
+    if not hot:
+        return rows.join(per_key, key)
+    return rows.where(code.isin(hot)).join(F.broadcast(per_key.where(code.isin(hot))), key).unionByName(rows.where(~code.isin(hot)).join(per_key.where(~code.isin(hot)), key))
 
 
 class Work:

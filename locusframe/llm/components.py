@@ -21,6 +21,7 @@ def components(edges: DataFrame, work: Work, name: str = "cc") -> DataFrame:
     for i in range(1, 200):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        least = work.put(least, f"{name}-least-{i}")
         large = join_hot(both, least, ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # u > v holds now: each node and its smaller neighbours link to the least of them
@@ -29,7 +30,7 @@ def components(edges: DataFrame, work: Work, name: str = "cc") -> DataFrame:
         seen = Observation()
         links = small.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
         now = work.put(links, f"{name}-{i}")
-        work.drop(f"{name}-{i - 1}")
+        work.drop(f"{name}-{i - 1}", f"{name}-least-{i}")
         total = seen.get["n"]
         if seen.get == sign:
             break

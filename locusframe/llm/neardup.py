@@ -29,6 +29,8 @@ TOGETHER = 400
 #: Shingles of a block, on average, and columns of a matrix at a time.
 BLOCK, COLUMNS = 250_000, 1024
 CHUNK = 300_000
+#: Digests that may be broadcast (some 64 MB).
+FEW = 1_000_000
 _U = np.uint64
 
 
@@ -206,7 +208,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.select("a", "b", "text").mapInArrow(run, "a binary, b binary")
 
 
-def _blocks(mixed: DataFrame) -> DataFrame:
+def _blocks(mixed: DataFrame, work: Work) -> DataFrame:
     """mixed (band, bucket, node, root, size) with the groups in which its buckets' classes meet: l, r, and whether the row is on the group's left and right.
 
     Left are the members outside the bucket's largest class, right all members. Both are dealt to blocks of BLOCK shingles on average, and every left
@@ -216,7 +218,7 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     buckets = kinds.groupBy("band", "bucket").agg(F.sum("n").alias("m"), F.sum("s").alias("all"), F.max(F.struct("s", "n", "root")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1")
     number = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
     buckets = buckets.select("band", "bucket", "m", number(F.col("all") - F.col("x.s")).alias("ls"), number(F.col("all")).alias("rs"), F.col("x.root").alias("main"))
-    rows = join_hot(mixed, buckets, ["band", "bucket"], "m", mixed.count())
+    rows = join_hot(mixed, work.put(buckets, "mixed-buckets"), ["band", "bucket"], "m", mixed.count())
     outside = F.col("root") != F.col("main")
     l, r = (F.pmod(F.xxhash64("node", F.lit(i)), F.col(c)).cast("int") for i, c in ((1, "ls"), (2, "rs")))
     place = lambda a, b, left, right: F.struct(a.alias("l"), b.alias("r"), left.alias("left"), right.alias("right"))
@@ -318,19 +320,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     shared = work.put(join_hot(members, sizes, ["band", "bucket"], "n", one.count() * BANDS), "shared")
     # each text meets the leader of its largest bucket: of those who come there, the one with the most company in all its buckets
     chosen = work.put(shared.groupBy("node").agg(F.sum("n").alias("reach"), F.max(F.struct("n", "band", "bucket")).alias("x")).select("node", "reach", "x.band", "x.bucket"), "chosen")
-    texts = work.put(rows.select(digest("text").alias("node"), "text").join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    nodes = chosen.select("node")
+    nodes = F.broadcast(nodes) if chosen.count() <= FEW else nodes  # else texts are shuffled
+    texts = work.put(rows.select(digest("text").alias("node"), "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     top = chosen.groupBy("band", "bucket").agg(F.max(F.struct("reach", "node")).alias("top"), F.count("*").alias("m"))
-    pairs = join_hot(chosen, top, ["band", "bucket"], "m", chosen.count()).select(F.col("top.node").alias("a"), F.col("node").alias("b")).where("a <> b")
+    pairs = join_hot(chosen, work.put(top, "top"), ["band", "bucket"], "m", chosen.count()).select(F.col("top.node").alias("a"), F.col("node").alias("b")).where("a <> b")
     found = work.put(verify(work.put(pairs, "pairs"), texts, idf), "found")
     twice = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same_key = signed.join(twice, "id").select("a", F.col("node").alias("b")).where("a <> b")
     roots = work.put(components(found.unionByName(same_key), work, "first"), "roots-1")
     now = work.put(shared.join(roots, "node", "left").select("band", "bucket", "node", F.coalesce("root", "node").alias("root"), "size"), "now")
-    met = block_links(_blocks(now), texts, idf).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    met = block_links(_blocks(now, work), texts, idf).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = work.put(components(met, work, "last"), "roots-2")
     rooted = work.put(one.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
-    of = join_hot(rooted.select("root", "node", "copies"), named, ["root"], "n", rooted.count())
+    of = work.put(join_hot(rooted.select("root", "node", "copies"), work.put(named, "named"), ["root"], "n", rooted.count()), "of")
     out = join_hot(signed.select("id", "node"), of.select("node", "class_id", "class_size", "copies"), ["node"], "copies", signed.count())
     out = work.put(out.select(F.col("id").alias(key), "class_id", "class_size"), "classes")
     work.keep("classes")
