@@ -34,7 +34,7 @@ def column(df: DataFrame, field: str) -> Column:
         if name == "@COUNT.MOTIF":
             return F.regexp_count("sequence", F.lit(argument))
         if name == "@CALCULATED":
-            return calculated(argument)
+            return calculated(argument, df)
         if name == "@GENE_ATTRIBUTE":
             return F.coalesce(F.try_element_at("attributes", F.lit(argument)), F.lit(""))
         if name in ("@GENE_ID", "@GENE_NAME"):
@@ -48,11 +48,41 @@ def column(df: DataFrame, field: str) -> Column:
     return F.col(name)
 
 
-def calculated(code: str) -> Column:
-    """A calculated column: a SQL expression over the region's columns, numbers with six decimals."""
+def _in_sql(df: DataFrame, field: str) -> str:
+    """The SQL of a metafield inside calculated code."""
+    plain = {"@LENGTH": "(`end` - `start`)", "@SEQUENCE": "sequence", "@STRAND": "coalesce(strand, '')" if "strand" in df.columns else "''"}
+    if field in plain:
+        return plain[field]
+    if field in DATASET:
+        return f"dataset_{DATASET[field]}"
+    if field in _AGG:
+        return _AGG[field] if _AGG[field] in df.columns else "CAST(NULL AS double)"
+    if (m := _CALL.match(field)) and m[1] in ("@COUNT.MOTIF", "@GENE_ID", "@GENE_NAME"):
+        text = m[2].replace("\\", "\\\\").replace("'", "\\'")
+        return f"regexp_count(sequence, '{text}')" if m[1] == "@COUNT.MOTIF" else m[1][1:].lower()
+    raise ValueError(f"unknown metafield {field}")
+
+
+def calculated(code: str, df: DataFrame | None = None) -> Column:
+    """A calculated column: a SQL expression over the columns and the metafields of df, such as @LENGTH; numbers with six decimals, text and truth values as they are."""
+    if df is not None:
+        code = re.sub(r"@[A-Z_]+(?:\.[A-Z]+)?(?:\([^()]*\))?", lambda m: _in_sql(df, m[0]), code)
+        if df.select(F.expr(code)).schema[0].dataType.simpleString() in ("string", "boolean"):
+            return F.expr(code).cast("string")
     return F.format_string("%.6f", F.expr(code).cast("double"))
 
 
+def with_genes(regions: DataFrame, genes: DataFrame) -> DataFrame:
+    """regions with gene_id, gene_name and go_terms of the gene of a model (genes) at the same place, for @GENE_ID and its like; null and no terms where there is none.
+
+    Of several genes at one place the one of the least id counts; repeated regions stay.
+    """
+    place = ["chrom", "start", "end"]
+    one = genes.groupBy(*place).agg(F.min(F.struct("gene_id", "gene_name", "go_terms")).alias("_gene"))
+    rows = regions.drop("gene_id", "gene_name", "go_terms").join(one, place, "left")
+    return rows.select("*", "_gene.gene_id", "_gene.gene_name", F.coalesce("_gene.go_terms", F.array().cast(genes.schema["go_terms"].dataType)).alias("go_terms")).drop("_gene")
+
+
 def with_datasets(regions: DataFrame, datasets: DataFrame) -> DataFrame:
     """regions with the metadata of their data set as columns dataset_*."""
     dimension = datasets.select("dataset_id", *[F.col(c).alias(f"dataset_{c}") for c in datasets.columns if c != "dataset_id"])

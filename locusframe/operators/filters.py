@@ -26,12 +26,12 @@ def _checked(field: str) -> str:
 
 
 def filter_regions(df: DataFrame, field: str, operation: str, value, kind: str = "string") -> DataFrame:
-    """The rows whose field compares to value; kind is 'string' (== and !=) or 'number'. Text that is no number never compares."""
+    """The rows whose field compares to value; kind is 'string' (== and !=) or 'number'. A missing cell differs from every text; text that is no number never compares."""
     c = metafields.column(df, _checked(field))
     if kind == "string":
         if operation not in ("==", "!="):
             raise ValueError("strings compare by == or !=")
-        same = c.cast("string") == F.lit(str(value))
+        same = c.cast("string").eqNullSafe(F.lit(str(value)))
         return df.where(same if operation == "==" else ~same)
     v = F.lit(float(value))
     n = c.try_cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import interval
+from . import interval, metadata
 from .filters import as_list
 
 
@@ -43,11 +43,24 @@ def select_expressions(expressions: DataFrame, genes: DataFrame, sample_ids=None
 
 
 def count_terms(genes: DataFrame) -> DataFrame:
-    """Genes of each ontology term, the most frequent first."""
+    """Genes of each ontology term."""
     one = genes.select("gene_id", F.explode("go_terms").alias("t")).select("gene_id", "t.go_id", "t.go_label").distinct()
     return one.groupBy("go_id", "go_label").agg(F.count("*").alias("count"))
 
 
+def annotated(genes: DataFrame, gene: str, term: tuple[str, str, str]) -> DataFrame:
+    """genes with one more term (go_id, go_label, go_namespace) for the gene of that id or name, if it has it not yet."""
+    new = F.struct(*[F.lit(v).alias(k) for k, v in zip(("go_id", "go_label", "go_namespace"), term, strict=True)])
+    mine = ((F.col("gene_id") == gene) | (F.col("gene_name") == gene)) & ~F.exists("go_terms", lambda t: t["go_id"] == term[0])
+    return genes.withColumn("go_terms", F.when(mine, F.concat("go_terms", F.array(new))).otherwise(F.col("go_terms")))
+
+
+def closure(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """(child, ancestor) of all terms (go_id) by edges (parent, child); each term is its own ancestor."""
+    below = metadata.descendants(edges, terms.select(F.col("go_id").alias("node")))
+    return below.select(F.col("node").alias("child"), F.col("root").alias("ancestor"))
+
+
 def terms_upwards(annotations: DataFrame, closure: DataFrame) -> DataFrame:
     """(gene_id, go_id) annotations with all ancestors of each term; closure is (child, ancestor) with each term its own ancestor."""
     return annotations.join(closure, annotations["go_id"] == closure["child"]).select("gene_id", F.col("ancestor").alias("go_id")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -75,19 +76,46 @@ def info(rows: DataFrame, ids) -> DataFrame:
     return rows.where(F.col("id").isin(*as_list(ids)))
 
 
+def is_biosource(table: DataFrame, name: str) -> bool:
+    """Whether name is a biosource or a synonym of one; table is (root, synonym)."""
+    return not table.where(normalised(F.col("synonym")) == normalised(F.lit(name))).isEmpty()
+
+
+def list_expressions(expressions: DataFrame, visible=None, **wanted) -> DataFrame:
+    """dataset_id and name of the expression data sets that match."""
+    return select_datasets(expressions, visible, **wanted).select("dataset_id", "name")
+
+
+def create_set(sets: DataFrame, name: str, datasets: DataFrame, members) -> DataFrame:
+    """sets (set_name, name) and one more of the named data sets; an unknown name or a set of that name is an error."""
+    wanted = F.array(*[normalised(F.lit(n)) for n in as_list(members)])
+    found = datasets.where(F.array_contains(wanted, normalised(F.col("name")))).select(F.lit(name).alias("set_name"), "name")
+    if found.select(normalised(F.col("name"))).distinct().count() < len({m.lower() for m in as_list(members)}):
+        raise ValueError("a data set is not known")
+    if not sets.where(normalised(F.col("set_name")) == normalised(F.lit(name))).isEmpty():
+        raise ValueError(f"{name} exists already")
+    return sets.unionByName(found)
+
+
+def of_set(datasets: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The data sets of a set."""
+    mine = sets.where(normalised(F.col("set_name")) == normalised(F.lit(name))).select(normalised(F.col("name")).alias("_n"))
+    return datasets.join(mine, normalised(F.col("name")) == F.col("_n"), "left_semi")
+
+
 def name_to_id(rows: DataFrame, names) -> DataFrame:
     wanted = F.array(*[normalised(F.lit(n)) for n in as_list(names)])
     return rows.where(F.array_contains(wanted, normalised(F.col("name")))).select("id", "name")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): all nodes below each root through edges (parent, child), itself at depth 0; repeated ways and cycles count once.
 
     One join for each depth; each depth is checkpointed where the session has a checkpoint folder, so plans stay small.
     """
     found = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct()
     front, parts = found, [found]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         nxt = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
         for seen in parts:
             nxt = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metafields, naming, statistics
 from ..operators import aggregate, enrichment, filters, genes, interval, metadata, sequences, transform
 from ..schema import located
-from ..sources import signals, text
+from ..sources import signals, store, text
 from ..streaming import tiles
 from . import views
+from .region_set import RegionSet
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -61,6 +60,12 @@ def _tested_sql(tables: str, *by: str) -> str:
     SELECT {', '.join(by)}, a, b, c, d, {_round_sql('p', 4)} AS p_value, {_round_sql('abs(log10(p))', 4)} AS log_score, {_round_sql('odds', 4)} AS odds_ratio, rank() OVER (ORDER BY a DESC) AS support_rank FROM x3"""
 
 
+def _places(s: DataFrame) -> DataFrame:
+    """60 bases at every 300th of each sequence."""
+    starts = F.explode(F.sequence(F.lit(0), F.length("bases") - 1, F.lit(300)).cast("array<bigint>"))
+    return s.where(F.length("bases") > 0).select("chrom", starts.alias("start")).select("chrom", "start", (F.col("start") + 60).alias("end"))
+
+
 def _ab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return views.data(spark, sf_dir), views.ranges(spark, sf_dir)
 
@@ -119,7 +124,7 @@ def s5_select_expressions(spark, sf_dir):
     p AS (SELECT 'doc' || doc_id AS chrom, list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + 4 * (i - 1) AS start FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM m))
     SELECT chrom, start, start + 4 AS "end" FROM p""")
 def s6_find_motif(spark, sf_dir):
-    return sequences.find_motif(views.sequences(spark, sf_dir), "tion")
+    return sequences.find_motif(views.sequences(spark, sf_dir), "tion", longest=4, size=4096)
 
 
 @query(f"WITH {_TILES.format(n=500)} SELECT * FROM t")
@@ -129,7 +134,7 @@ def s7_tiling(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('chr1', 10::BIGINT, 20::BIGINT, 'x', 1.5), ('chr2', 5, 9, 'y', 2)) AS v(chrom, start, \"end\", name, score)")
 def s8_input_regions(spark, sf_dir):
-    out = text.bed(spark, ["#head", "chr1\t10\t20\tx\t1.5", "", "chr2\t5\t9\ty\t2"])
+    out = text.bed(spark, ["#head", "chr1\t10\t20\t1.5\tx", "", "chr2\t5\t9\t2\ty"])
     return out.where("error IS NULL").drop("error")
 
 
@@ -138,21 +143,21 @@ def s9_range_scan(spark, sf_dir):
     return filters.in_range(views.data(spark, sf_dir), ["chr2", "chr4"], 1000, 5000).select("chrom", "start", "end")
 
 
-@query("SELECT chrom, start, \"end\", \"end\" - start AS length, strand, name, biosource, genome FROM a JOIN datasets USING (dataset_id) WHERE score > 50000")
+@query("SELECT chrom, start, \"end\", \"end\" - start AS length, strand, name, biosource, genome FROM a JOIN datasets USING (dataset_id) ")
 def p1_get_regions(spark, sf_dir):
-    rows = metafields.with_datasets(views.data(spark, sf_dir).where("score > 50000"), views.datasets(spark, sf_dir))
+    rows = metafields.with_datasets(views.data(spark, sf_dir), views.datasets(spark, sf_dir))
     out = metafields.formatted(rows, "CHROMOSOME,START,END,@LENGTH,@STRAND,@NAME,@BIOSOURCE,@GENOME")
     return out.toDF("chrom", "start", "end", "length", "strand", "name", "biosource", "genome")
 
 
-@query("SELECT chrom || chr(9) || start || chr(9) || printf('%.4f', score) AS line FROM a WHERE score > 90000")
+@query("SELECT chrom || chr(9) || start || chr(9) || printf('%.4f', score) AS line FROM a")
 def k1_text_lines(spark, sf_dir):
-    return metafields.as_text(metafields.formatted(views.data(spark, sf_dir).where("score > 90000"), "CHROMOSOME,START,SCORE"))
+    return metafields.as_text(metafields.formatted(views.data(spark, sf_dir), "CHROMOSOME,START,SCORE"))
 
 
 @query("SELECT * FROM b ORDER BY chrom, start, \"end\", dataset_id LIMIT 50")
 def k4_preview(spark, sf_dir):
-    return views.ranges(spark, sf_dir).orderBy("chrom", "start", "end", "dataset_id").limit(50)
+    return store.preview(views.ranges(spark, sf_dir), 50)
 
 
 @query("SELECT * FROM a WHERE strand = '-' AND chrom <> 'chr0'")
@@ -165,11 +170,10 @@ def p3_filter_number(spark, sf_dir):
     return filters.filter_regions(filters.filter_regions(views.data(spark, sf_dir), "SCORE", ">=", 30000, "number"), "@LENGTH", "<", 20, "number")
 
 
-@query("SELECT 'doc' || doc_id AS chrom, i * 300 AS start, i * 300 + 60 AS \"end\" FROM documents, range(0, 3) r(i) WHERE i * 300 < length(text) AND regexp_matches(substr(text, i * 300 + 1, 60), 'th[ei]')")
+@query("SELECT chrom, start, \"end\" FROM (SELECT 'doc' || doc_id AS chrom, start, start + 60 AS \"end\", substr(text, start + 1, 60) AS x FROM (SELECT doc_id, text, unnest(range(0, length(text), 300)) AS start FROM documents)) WHERE regexp_matches(x, 'th[ei]')")
 def p4_filter_by_motif(spark, sf_dir):
     s = views.sequences(spark, sf_dir)
-    places = s.select("chrom", F.explode(F.array(*[F.lit(i * 300).cast("long") for i in range(3)])).alias("start"), F.length("bases").alias("_n")).where("start < _n").select("chrom", "start", (F.col("start") + 60).alias("end"))
-    return sequences.filter_by_motif(places, sequences.chunked(s, 256), "th[ei]", 256)
+    return sequences.filter_by_motif(_places(s), sequences.chunked(s, 256), "th[ei]", 256)
 
 
 @query("SELECT * FROM a WHERE dataset_id IN (SELECT dataset_id FROM datasets WHERE content_format = 'peaks')")
@@ -202,14 +206,11 @@ def j3_no_overlap(spark, sf_dir):
     return interval.overlap(*_ab(spark, sf_dir), False)
 
 
-@query(f"""WITH few AS (SELECT * FROM b WHERE dataset_id % 20 = 3 AND chrom <> 'chr3'), l AS (SELECT chrom, arg_max({{'s': start, 'e': "end"}}, {{'s': start, 'e': "end"}}) AS x FROM few GROUP BY chrom)
-    SELECT a.* FROM a LEFT JOIN l USING (chrom) WHERE NOT EXISTS (SELECT 1 FROM few b WHERE {_HIT}) AND CASE
-      WHEN EXISTS (SELECT 1 FROM few b WHERE b.chrom = a.chrom AND b.start >= a."end") THEN
-        (SELECT min(b.start) - a."end" FROM few b WHERE b.chrom = a.chrom AND b.start >= a."end") >= 40
-      WHEN l.x IS NOT NULL THEN a.start - l.x.e >= 40 ELSE true END""")
+@query(f"""WITH l AS (SELECT chrom, arg_max({{'s': start, 'e': "end"}}, {{'s': start, 'e': "end"}}) AS x FROM b GROUP BY chrom), o AS (SELECT DISTINCT chrom AS nc, start AS ns FROM b)
+    SELECT a.* FROM a ASOF LEFT JOIN o ON a.chrom = nc AND a."end" <= ns LEFT JOIN l ON l.chrom = a.chrom WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_HIT})
+      AND CASE WHEN ns IS NOT NULL THEN ns - a."end" >= 4 WHEN l.x IS NOT NULL THEN a.start - l.x.e >= 4 ELSE true END""")
 def j3_distance(spark, sf_dir):
-    a, b = _ab(spark, sf_dir)
-    return interval.overlap(a, b.where("dataset_id % 20 = 3 AND chrom <> 'chr3'"), False, 40, "bp")
+    return interval.overlap(*_ab(spark, sf_dir), False, 4, "bp")
 
 
 @query(f"SELECT count(*) AS count FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT})")
@@ -230,19 +231,18 @@ def j6_gene_location(spark, sf_dir):
     return interval.gene_location(x, g).select("chrom", "start", "end", "gene_id", "gene_name")
 
 
-@query("SELECT a.chrom, a.start, d.name, d.epigenetic_mark FROM a LEFT JOIN datasets d USING (dataset_id) WHERE a.score > 80000")
+@query("SELECT a.chrom, a.start, d.name, d.epigenetic_mark FROM a LEFT JOIN datasets d USING (dataset_id)")
 def j8_metadata_join(spark, sf_dir):
-    rows = metafields.with_datasets(views.data(spark, sf_dir).where("score > 80000"), views.datasets(spark, sf_dir))
+    rows = metafields.with_datasets(views.data(spark, sf_dir), views.datasets(spark, sf_dir))
     return rows.select("chrom", "start", F.col("dataset_name").alias("name"), F.col("dataset_epigenetic_mark").alias("epigenetic_mark"))
 
 
-_PLACES = "SELECT 'doc' || doc_id AS chrom, i * 300 AS start, i * 300 + 60 AS \"end\", substr(text, i * 300 + 1, 60) AS sequence FROM documents, range(0, 3) r(i) WHERE i * 300 < length(text)"
+_PLACES = "SELECT 'doc' || doc_id AS chrom, start, start + 60 AS \"end\", substr(text, start + 1, 60) AS sequence FROM (SELECT doc_id, text, unnest(range(0, length(text), 300)) AS start FROM documents)"
 
 
 def _sequences(spark, sf_dir):
     s = views.sequences(spark, sf_dir)
-    places = s.select("chrom", F.explode(F.array(*[F.lit(i * 300).cast("long") for i in range(3)])).alias("start"), F.length("bases").alias("_n")).where("start < _n").select("chrom", "start", (F.col("start") + 60).alias("end"))
-    return sequences.with_sequence(places, sequences.chunked(s, 256), 256)
+    return sequences.with_sequence(_places(s), sequences.chunked(s, 256), 256)
 
 
 @query(_PLACES)
@@ -324,13 +324,13 @@ def a12_count_terms(spark, sf_dir):
     return genes.count_terms(views.genes(spark, sf_dir))
 
 
-@query(f"WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND b.dataset_id < 50)) SELECT go_id, go_id AS go_label, count(*) AS count FROM (SELECT brand AS go_id FROM m UNION ALL SELECT type FROM m) GROUP BY 1, 2")
+@query(f"WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT})) SELECT go_id, go_id AS go_label, count(*) AS count FROM (SELECT brand AS go_id FROM m UNION ALL SELECT type FROM m) GROUP BY 1, 2")
 def a13_terms_of_intersection(spark, sf_dir):
-    met = interval.intersection(views.genes(spark, sf_dir).select("gene_id", "chrom", "start", "end", "go_terms"), views.ranges(spark, sf_dir).where("dataset_id < 50"))
+    met = interval.intersection(views.genes(spark, sf_dir).select("gene_id", "chrom", "start", "end", "go_terms"), views.ranges(spark, sf_dir))
     return genes.count_terms(met)
 
 
-_E2_TABLES = f"""WITH u AS (SELECT chrom, i * 2000 AS start, (i + 1) * 2000 AS "end" FROM (SELECT chrom, unnest(range(0, (size - 1) // 2000)) AS i FROM sizes)), q AS (SELECT * FROM b WHERE dataset_id < 60), db AS (SELECT * FROM a WHERE dataset_id <= 5),
+_E2_TABLES = f"""WITH u AS (SELECT chrom, i * 2000 AS start, (i + 1) * 2000 AS "end" FROM (SELECT chrom, unnest(range(0, (size - 1) // 2000)) AS i FROM sizes)), q AS (SELECT * FROM b), db AS (SELECT * FROM a),
     r AS (SELECT * FROM u a WHERE EXISTS (SELECT 1 FROM q b WHERE {_HIT})),
     x AS (SELECT b.dataset_id, count(DISTINCT (a.chrom, a.start)) AS a FROM r a JOIN db b ON {_HIT} GROUP BY 1), y AS (SELECT b.dataset_id, count(DISTINCT (a.chrom, a.start)) AS u FROM u a JOIN db b ON {_HIT} GROUP BY 1)
     SELECT dataset_id, coalesce(a, 0) AS a, u - coalesce(a, 0) AS b, (SELECT count(*) FROM r) - coalesce(a, 0) AS c, (SELECT count(*) FROM u) - u - (SELECT count(*) FROM r) + coalesce(a, 0) AS d FROM y LEFT JOIN x USING (dataset_id)"""
@@ -339,54 +339,54 @@ _E2_TABLES = f"""WITH u AS (SELECT chrom, i * 2000 AS start, (i + 1) * 2000 AS "
 @query(_E2_TABLES)
 def e2_overlap_tables(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
-    return enrichment.overlap_tables(b.where("dataset_id < 60"), a.where("dataset_id <= 5"), transform.tiling(views.sizes(spark, sf_dir), 2000))
+    return enrichment.overlap_tables(b, a, transform.tiling(views.sizes(spark, sf_dir), 2000))
 
 
 @query(_tested_sql(_E2_TABLES, "dataset_id"))
 def e2_enrich_overlap(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
-    return _tested(enrichment.overlap_tables(b.where("dataset_id < 60"), a.where("dataset_id <= 5"), transform.tiling(views.sizes(spark, sf_dir), 2000)), "dataset_id")
+    return _tested(enrichment.overlap_tables(b, a, transform.tiling(views.sizes(spark, sf_dir), 2000)), "dataset_id")
 
 
-_E3_TABLES = """WITH w AS (SELECT floor(sum(size) / 65536 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w),
-    q AS (SELECT DISTINCT unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM b JOIN f USING (chrom) WHERE dataset_id < 60),
+_E3_TABLES = """WITH w AS (SELECT floor(sum(size) / 1048576 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w),
+    q AS (SELECT DISTINCT unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM b JOIN f USING (chrom)),
     e AS (SELECT DISTINCT dataset_id, unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM a JOIN f USING (chrom)),
     s AS (SELECT dataset_id, count(q.tile) AS a, count(*) AS n FROM e LEFT JOIN q USING (tile) GROUP BY 1)
-    SELECT dataset_id, a, n - a AS b, (SELECT count(*) FROM q) - a AS c, 65536 - n - (SELECT count(*) FROM q) + a AS d FROM s"""
+    SELECT dataset_id, a, n - a AS b, (SELECT count(*) FROM q) - a AS c, 1048576 - n - (SELECT count(*) FROM q) + a AS d FROM s"""
 
 
 @query(_E3_TABLES)
 def e3_fast_tables(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
-    return enrichment.fast_tables(b.where("dataset_id < 60"), a, views.sizes(spark, sf_dir), bits=65536)
+    return enrichment.fast_tables(b, a, views.sizes(spark, sf_dir))
 
 
 @query(_tested_sql(_E3_TABLES, "dataset_id"))
 def e3_enrich_fast(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
-    return _tested(enrichment.fast_tables(b.where("dataset_id < 60"), a, views.sizes(spark, sf_dir), bits=65536), "dataset_id")
+    return _tested(enrichment.fast_tables(b, a, views.sizes(spark, sf_dir)), "dataset_id")
 
 
-@query("""WITH w AS (SELECT floor(sum(size) / 65536 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w)
+@query("""WITH w AS (SELECT floor(sum(size) / 1048576 + count(*) + 1)::BIGINT AS width FROM sizes), f AS (SELECT chrom, coalesce(sum(size // width + 1) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, width FROM sizes, w)
     SELECT dataset_id, count(DISTINCT tile) AS tiles FROM (SELECT dataset_id, unnest(range(first + start // width, first + "end" // width + 1)) AS tile FROM a JOIN f USING (chrom)) GROUP BY 1""")
 def e3_signature_sizes(spark, sf_dir):
-    s = enrichment.signatures(views.data(spark, sf_dir), views.sizes(spark, sf_dir), bits=65536)
+    s = enrichment.signatures(views.data(spark, sf_dir), views.sizes(spark, sf_dir))
     return s.groupBy("dataset_id").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("tiles"))
 
 
-_E4_TABLES = f"""WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT} AND b.dataset_id < 20)), g AS (SELECT gene_id, brand AS go_id FROM genes UNION SELECT gene_id, type FROM genes),
+_E4_TABLES = f"""WITH m AS (SELECT * FROM genes a WHERE EXISTS (SELECT 1 FROM b WHERE {_HIT})), g AS (SELECT gene_id, brand AS go_id FROM genes UNION SELECT gene_id, type FROM genes),
     t AS (SELECT go_id, count(*) AS total, count(*) FILTER (gene_id IN (SELECT gene_id FROM m)) AS a FROM g GROUP BY 1)
     SELECT go_id, go_id AS go_label, a, total - a AS b, (SELECT count(*) FROM m) - a AS c, (SELECT count(*) FROM genes) - total - (SELECT count(*) FROM m) + a AS d, a / total AS ratio FROM t WHERE a > 0"""
 
 
 @query(_E4_TABLES)
 def e4_term_tables(spark, sf_dir):
-    return genes.term_tables(views.genes(spark, sf_dir), views.ranges(spark, sf_dir).where("dataset_id < 20"))
+    return genes.term_tables(views.genes(spark, sf_dir), views.ranges(spark, sf_dir))
 
 
 @query(_tested_sql(_E4_TABLES, "go_id"))
 def e4_enrich_terms(spark, sf_dir):
-    return _tested(genes.term_tables(views.genes(spark, sf_dir), views.ranges(spark, sf_dir).where("dataset_id < 20")), "go_id")
+    return _tested(genes.term_tables(views.genes(spark, sf_dir), views.ranges(spark, sf_dir)), "go_id")
 
 
 @query("SELECT name, rank() OVER (ORDER BY a DESC) AS support_rank, rank() OVER (ORDER BY log_score DESC) AS log_rank, rank() OVER (ORDER BY odds_ratio DESC) AS odds_rank FROM (SELECT n_name AS name, count(*) AS a, n_regionkey AS log_score, n_nationkey % 4 AS odds_ratio FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_regionkey, n_nationkey)")
@@ -516,9 +516,9 @@ def s10_fixed_steps(spark, sf_dir):
 
 
 @query("""SELECT dataset_id, min("end" - start) AS v_min, max("end" - start) AS v_max, sum("end" - start)::BIGINT AS v_sum, list_sort(list("end" - start))[count(*) // 2 + 1] AS v_median, count(*) AS v_count, true AS v_boolean,
-    string_agg(printf('%.4f', ("end" - start)::DOUBLE), '|' ORDER BY "end" - start) AS v_acc FROM a WHERE start < 20000 GROUP BY 1""")
+    string_agg(printf('%.4f', ("end" - start)::DOUBLE), '|' ORDER BY "end" - start) AS v_acc FROM a GROUP BY 1""")
 def a2_accumulators(spark, sf_dir):
-    v = views.data(spark, sf_dir).where("start < 20000").select("dataset_id", (F.col("end") - F.col("start")).alias("v"))
+    v = views.data(spark, sf_dir).select("dataset_id", (F.col("end") - F.col("start")).alias("v"))
     numbers = v.groupBy("dataset_id").agg(*[aggregate.FUNCTIONS[n]("v").alias(f"v_{n}") for n in ("min", "max", "sum", "median", "count", "boolean")])
     return numbers.join(aggregate.acc(v.withColumn("v", F.col("v").cast("double")), ["dataset_id"], "v").withColumnRenamed("acc", "v_acc"), "dataset_id")
 
@@ -559,10 +559,294 @@ def f1_bed_lines(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", floor(sum(value) * 100.0 + 0.501) / 100.0 AS agg_sum, count(value) AS agg_count FROM events GROUP BY ALL")
 def w2_stream_tiles(spark, sf_dir):
-    """The same tiles from a stream that reads what is there and ends."""
+    """The same tiles from a stream that reads what is there and ends; closed tiles are appended to files."""
     kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"tiles_{uuid.uuid4().hex}"
-    run = tiles.aggregate_tiles(stream, "1 hour").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    folder = store.scratch(spark)
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy(F.col("ts").desc()).limit(1)
+    last.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 2 DAYS"), "value": F.lit(None).cast("double")}).select(*kind.names).write.parquet(f"{folder}/end")
+    end = spark.readStream.schema(kind).parquet(f"{folder}/end")  # a later event without a value, which closes the last tile
+    closed = tiles.aggregate_tiles(stream.unionByName(end).withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", late="0 seconds")
+    run = closed.writeStream.format("parquet").option("path", f"{folder}/tiles").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return _rounded(spark.table(name).select("start", "end", "agg_sum", "agg_count"), "agg_sum")
+    found = spark.read.schema(closed.schema).parquet(f"{folder}/tiles").where("agg_count > 0")
+    return _rounded(found.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "agg_sum", "agg_count"), "agg_sum")
+
+
+# files of every format, written as lines and read
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str, *cells, header: str | None = None, between: str = "\t") -> DataFrame:
+    """One line for each part."""
+    lines = _part(spark, sf_dir).select(F.concat_ws(between, *[F.expr(c).cast("string") for c in cells]).alias("value"))
+    return lines.unionByName(spark.createDataFrame([(header,)], "value string")) if header else lines
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 10 AS start, p_partkey * 10 + p_size AS \"end\", p_retailprice AS score FROM part")
+def f1_four_with_score(spark, sf_dir):
+    return text.bed(spark, _lines(spark, sf_dir, "concat('chr', p_partkey % 5)", "p_partkey * 10", "p_partkey * 10 + p_size", "p_retailprice")).where("error IS NULL").drop("error")
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 10 AS start, p_partkey * 10 + p_size AS \"end\", p_size::DOUBLE AS score, p_brand AS name FROM part")
+def f1_five_tokens(spark, sf_dir):
+    return text.bed(spark, _lines(spark, sf_dir, "concat('chr', p_partkey % 5)", "p_partkey * 10", "p_partkey * 10 + p_size", "p_size", "p_brand")).where("error IS NULL").drop("error")
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 100 + i * 10 AS start, p_partkey * 100 + i * 10 + 5 AS \"end\", (p_size + i)::DOUBLE AS value FROM part, range(0, 3) r(i)")
+def f2_wig(spark, sf_dir):
+    """Wiggle files of one fixed-step block each."""
+    k = F.col("p_partkey")
+    head = F.concat(F.lit("track type=wiggle_0\nfixedStep chrom=chr"), k % 5, F.lit(" start="), k * 100 + 1, F.lit(" step=10 span=5\n"))
+    files = _part(spark, sf_dir).select(F.concat(head, F.concat_ws("\n", *[F.col("p_size") + i for i in range(3)])).alias("value"))
+    return text.wig(spark, files).where("error IS NULL").drop("error")
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 100 + i * 10 - 1 AS start, p_partkey * 100 + i * 10 + 2 AS \"end\", (p_size + i)::DOUBLE AS value FROM part, range(1, 3) r(i)")
+def f2_wig_variable(spark, sf_dir):
+    k = F.col("p_partkey")
+    head = F.concat(F.lit("# made\nvariableStep chrom=chr"), k % 5, F.lit(" span=3\n"))
+    files = _part(spark, sf_dir).select(F.concat(head, F.concat_ws("\n", *[F.concat_ws(" ", k * 100 + i * 10, F.col("p_size") + i) for i in (1, 2)])).alias("value"))
+    return text.wig(spark, files).where("error IS NULL").drop("error")
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 10 AS start, p_partkey * 10 + p_size AS \"end\", p_retailprice AS value FROM part")
+def f3_bedgraph(spark, sf_dir):
+    lines = _lines(spark, sf_dir, "concat('chr', p_partkey % 5)", "p_partkey * 10", "p_partkey * 10 + p_size", "p_retailprice", header="track type=bedGraph", between="  ")
+    return text.bedgraph(spark, lines).where("error IS NULL").drop("error")
+
+
+@query("SELECT 'chr' || (p_partkey % 5) AS chrom, p_partkey * 10 AS start, p_partkey * 10 + p_size AS \"end\", p_size::DOUBLE AS score, '+' AS strand, 'G' || p_partkey || '.2' AS gene_id, p_brand AS gene_name FROM part")
+def f4_gtf(spark, sf_dir):
+    attributes = "concat('gene_id \"G', p_partkey, '.2\"; gene_name \"', p_brand, '\"; level 2;')"
+    genes_ = _lines(spark, sf_dir, "concat('chr', p_partkey % 5)", "'made'", "'gene'", "p_partkey * 10", "p_partkey * 10 + p_size", "p_size", "'+'", "'.'", attributes, header="##description: made")
+    parts = _lines(spark, sf_dir, "concat('chr', p_partkey % 5)", "'made'", "'exon'", "1", "2", "'.'", "'+'", "'.'", attributes)
+    return text.gtf(spark, genes_.unionByName(parts)).select("chrom", "start", "end", "score", "strand", "gene_id", "gene_name")
+
+
+@query("SELECT 'T' || p_partkey AS tracking_id, 'G' || p_partkey AS gene_id, p_brand AS gene_name, p_retailprice AS fpkm, 0.5 AS fpkm_lo, p_size::DOUBLE AS fpkm_hi, 'OK' AS fpkm_status FROM part")
+def f5_cufflinks(spark, sf_dir):
+    cells = ["concat('T', p_partkey)", "'-'", "'-'", "concat('G', p_partkey)", "p_brand", "'-'", "'chr1:1-2'", "'-'", "'-'", "p_retailprice", "0.5", "p_size", "'OK'"]
+    return text.expressions(spark, _lines(spark, sf_dir, *cells, header="\t".join(f"h{i}" for i in range(13))), "cufflinks")
+
+
+@query("SELECT 'G' || p_partkey AS tracking_id, 'T1,T2' AS transcript_ids, p_size::DOUBLE AS length, p_retailprice AS tpm, p_size + 6.0 AS fpkm, p_size + 14.0 AS fpkm_ci_upper FROM part")
+def f6_grape2(spark, sf_dir):
+    cells = ["concat('G', p_partkey)", "'T1,T2'", "p_size", "p_size + 3", "p_size + 4", "p_retailprice", *[f"p_size + {i}" for i in range(6, 15)]]
+    found = text.expressions(spark, _lines(spark, sf_dir, *cells, header="\t".join(f"h{i}" for i in range(15))), "grape2")
+    return found.select("tracking_id", "transcript_ids", "length", "tpm", "fpkm", "fpkm_ci_upper")
+
+
+@query("SELECT 'T' || p_partkey AS tracking_id, p_size::DOUBLE AS length, p_size + 1.0 AS effective_length, p_retailprice AS tpm, p_size * 2.0 AS num_reads FROM part")
+def f7_salmon(spark, sf_dir):
+    return text.expressions(spark, _lines(spark, sf_dir, "concat('T', p_partkey)", "p_size", "p_size + 1", "p_retailprice", "p_size * 2", header="Name\tLength\tEffectiveLength\tTPM\tNumReads"), "salmon")
+
+
+@query("SELECT 's' || p_partkey AS chrom, repeat('ACGTN', p_size) AS bases FROM part")
+def f8_fasta(spark, sf_dir):
+    body = F.regexp_replace(F.expr("repeat('ACGTN', p_size)"), "(.{7})", "$1\n")
+    return text.fasta(spark, _part(spark, sf_dir).select(F.concat(F.lit(">s"), "p_partkey", F.lit(" made\n"), body, F.lit("\n")).alias("value")))
+
+
+@query("SELECT 'chr' || p_partkey AS chrom, p_partkey * 1000 AS size FROM part")
+def f9_sizes(spark, sf_dir):
+    return text.chromosome_sizes(spark, _lines(spark, sf_dir, "concat('chr', p_partkey)", "format_number(p_partkey * 1000, 0)"))
+
+
+@query("SELECT chrom || chr(9) || start || chr(9) || \"end\" AS line FROM b")
+def k2_compressed_file(spark, sf_dir):
+    """Lines of a compressed result file, written and read back."""
+    folder = store.scratch(spark)
+    store.write_text(views.ranges(spark, sf_dir), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("SELECT chrom, start, \"end\", dataset_id FROM b WHERE chrom IN ('chr1', 'chr3') AND start < 90000 AND \"end\" > 20000")
+def s9_store_scan(spark, sf_dir):
+    """A range read from the store."""
+    folder = store.scratch(spark)
+    store.save(views.ranges(spark, sf_dir), folder, "hg19")
+    return store.load(spark, folder, "hg19", ["chr1", "chr3"], 20_000, 90_000).select("chrom", "start", "end", "dataset_id")
+
+
+@query("SELECT CASE WHEN p_partkey % 5 = 4 THEN 'chr4' ELSE 'chr' || (p_partkey % 5) END AS chrom, p_partkey AS start, p_partkey + p_size AS \"end\", 900001 AS dataset_id, p_brand AS name FROM part")
+def c18_ingest(spark, sf_dir):
+    """Lines to a stored data set with its row in the catalogue, read back through both."""
+    folder, d = store.scratch(spark), views.datasets(spark, sf_dir)
+    parsed = text.bed(spark, _lines(spark, sf_dir, "concat(if(p_partkey % 5 = 4, '', 'chr'), p_partkey % 5)", "p_partkey", "p_partkey + p_size", "p_brand"), "CHROMOSOME,START,END,NAME")
+    catalogue = store.ingest(parsed, views.sizes(spark, sf_dir), folder, "hg19", {"dataset_id": 900_001, "name": "new peaks", "genome": "hg19"}, d)
+    rows = filters.select_regions(store.load(spark, folder, "hg19"), catalogue, experiment_name="New Peaks")
+    return rows.select("chrom", "start", "end", "dataset_id", "name")
+
+
+# calculated text, models, terms
+
+
+@query("SELECT chrom, start, chrom || '_' || (\"end\" - start) || strand AS value, printf('%.6f', (\"end\" - start) * 2.0) AS twice FROM a")
+def u1_text(spark, sf_dir):
+    a = views.data(spark, sf_dir)
+    return a.select("chrom", "start", metafields.column(a, "@CALCULATED(concat(chrom, '_', @LENGTH, @STRAND))").alias("value"), metafields.column(a, "@CALCULATED(@LENGTH * 2)").alias("twice"))
+
+
+_MODEL = 'x AS (SELECT chrom, start, "end" FROM genes UNION ALL SELECT chrom, start, "end" FROM b), g AS (SELECT chrom, start, "end", min(gene_id) AS gene_id, arg_min(gene_name, gene_id) AS gene_name, arg_min(brand, gene_id) AS brand, arg_min(type, gene_id) AS type FROM genes GROUP BY ALL)'
+
+
+def _model(spark, sf_dir) -> DataFrame:
+    g, place = views.genes(spark, sf_dir), ["chrom", "start", "end"]
+    return metafields.with_genes(g.select(*place).unionByName(views.ranges(spark, sf_dir).select(*place)), g)
+
+
+@query(f"WITH {_MODEL.replace('GROUP BY ALL', 'GROUP BY 1, 2, 3')} SELECT x.chrom, x.start, x.\"end\", gene_id, gene_name FROM x LEFT JOIN g USING (chrom, start, \"end\")")
+def m10_gene_names(spark, sf_dir):
+    x = _model(spark, sf_dir)
+    return x.select("chrom", "start", "end", metafields.column(x, "@GENE_ID(model)").alias("gene_id"), metafields.column(x, "@GENE_NAME(model)").alias("gene_name"))
+
+
+@query(f"WITH {_MODEL.replace('GROUP BY ALL', 'GROUP BY 1, 2, 3')} SELECT x.chrom, x.start, x.\"end\", coalesce(brand || ',' || type, '') AS ids FROM x LEFT JOIN g USING (chrom, start, \"end\")")
+def m11_go_ids(spark, sf_dir):
+    x = _model(spark, sf_dir)
+    return x.select("chrom", "start", "end", metafields.column(x, "@GO_IDS(model)").alias("ids"))
+
+
+@query("SELECT gene_id, CASE WHEN gene_id = 'G5' THEN 3 ELSE 2 END AS terms FROM genes")
+def c16_annotate_gene(spark, sf_dir):
+    return genes.annotated(views.genes(spark, sf_dir), "G5", ("new", "a new term", "made")).select("gene_id", F.size("go_terms").cast("long").alias("terms"))
+
+
+@query("SELECT DISTINCT 'c' || c_custkey AS gene_id, unnest(['n' || n_nationkey, 'r' || n_regionkey]) AS go_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def c16_terms_with_parents(spark, sf_dir):
+    """Annotations with terms and all above them: nations below regions."""
+    n, c = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name = lambda kind, k: F.concat(F.lit(kind), F.col(k))
+    edges = n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"))
+    terms = edges.select(F.col("parent").alias("go_id")).unionByName(edges.select(F.col("child").alias("go_id"))).distinct()
+    return genes.terms_upwards(c.select(name("c", "c_custkey").alias("gene_id"), name("n", "c_nationkey").alias("go_id")), genes.closure(edges, terms))
+
+
+# more of the catalogue
+
+
+@query("SELECT dataset_id, name FROM datasets WHERE genome = 'ASIA' AND project = 'project2'")
+def c5_list_expressions(spark, sf_dir):
+    return metadata.list_expressions(views.datasets(spark, sf_dir), visible="project2", genome="Asia")
+
+
+@query("SELECT dataset_id, name FROM datasets WHERE name IN ('Supplier#000000002', 'Supplier#000000003')")
+def c20_experiment_set(spark, sf_dir):
+    d = views.datasets(spark, sf_dir)
+    sets = metadata.create_set(spark.createDataFrame([], "set_name string, name string"), "mine", d, ["supplier 000000002", "Supplier#000000003"])
+    return metadata.of_set(d, sets, "Mine").select("dataset_id", "name")
+
+
+@query("SELECT n_name AS name, n_regionkey = 1 AS known FROM nation WHERE n_nationkey < 3")
+def c11_is_biosource(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    table = n.where("n_regionkey = 1").select(F.col("n_regionkey").alias("root"), F.col("n_name").alias("synonym"))
+    names = [r[0] for r in n.where("n_nationkey < 3").select("n_name").collect()]  # three rows
+    return spark.createDataFrame([(x, metadata.is_biosource(table, x.lower())) for x in names], "name string, known boolean")
+
+
+@query("SELECT s_suppkey AS dataset_id, CASE WHEN s_suppkey = 3 THEN 'new' END AS value FROM supplier")
+def c21_change_extra(spark, sf_dir):
+    d = views.datasets(spark, sf_dir).withColumn("extra_metadata", F.create_map(F.lit("k"), F.lit("old")))
+    out = metadata.change_extra(metadata.change_extra(d, 3, "x", "new"), 3, "k", "")
+    return out.select("dataset_id", F.try_element_at("extra_metadata", F.lit("x")).alias("value"))
+
+
+@query("SELECT dataset_id AS id, name FROM datasets WHERE dataset_id NOT IN (2, 4)")
+def c23_remove(spark, sf_dir):
+    d = views.datasets(spark, sf_dir).select(F.col("dataset_id").alias("id"), "name")
+    return metadata.removed(d, [2, 4], [(views.ranges(spark, sf_dir).where("dataset_id < 0"), "dataset_id")])
+
+
+@query("SELECT dataset_id, name FROM datasets UNION ALL SELECT 900001, 'fresh'")
+def c17_add(spark, sf_dir):
+    d = views.datasets(spark, sf_dir).select("dataset_id", "name")
+    return metadata.added(d, spark.createDataFrame([(900_001, "fresh")], "dataset_id long, name string"))
+
+
+@query("SELECT dataset_id AS id, name, genome FROM datasets WHERE dataset_id IN (1, 5)")
+def c10_info(spark, sf_dir):
+    return metadata.info(views.datasets(spark, sf_dir).select(F.col("dataset_id").alias("id"), "name", "genome"), [1, 5])
+
+
+@query("SELECT chrom, size FROM sizes")
+def c12_chromosomes(spark, sf_dir):
+    return views.sizes(spark, sf_dir)
+
+
+@query("SELECT r_regionkey AS dataset_id, r_name AS name FROM region")
+def c1_list_genomes(spark, sf_dir):
+    return metadata.listed(spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("dataset_id"), F.col("r_name").alias("name")))
+
+
+@query("SELECT n_nationkey AS dataset_id, n_name AS name FROM nation WHERE n_regionkey = 2")
+def c2_list_samples(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return metadata.listed(n.select(F.col("n_nationkey").alias("dataset_id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("sample_id")), sample_id="2")
+
+
+# variants
+
+
+@query("SELECT * FROM a WHERE dataset_id IN (SELECT dataset_id FROM datasets WHERE genome IN ('ASIA', 'EUROPE'))")
+def t5_several_genomes(spark, sf_dir):
+    return filters.select_regions(views.data(spark, sf_dir), views.datasets(spark, sf_dir), genome=["Asia", "Europe"])
+
+
+@query("SELECT row_number() OVER (ORDER BY chrom, start, \"end\") AS place, chrom, start, \"end\" FROM (SELECT DISTINCT chrom, start, \"end\" FROM b WHERE chrom = 'chr2')")
+def t6_sorted(spark, sf_dir):
+    """The order of a result, numbered as it comes; one chromosome's distinct ranges."""
+    out = views.ranges(spark, sf_dir).where("chrom = 'chr2'").select("chrom", "start", "end").distinct()
+    return RegionSet(out).rows("CHROMOSOME,START,END").toDF("chrom", "start", "end").withColumn("place", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end")).cast("long"))
+
+
+@query("SELECT * FROM a WHERE score <= 20000 AND \"end\" - start > 10 AND \"end\" - start <> 20 AND start % 10 = 0")
+def p3_more_numbers(spark, sf_dir):
+    out = filters.filter_regions(views.data(spark, sf_dir).withColumn("rest", F.col("start") % 10), "SCORE", "<=", 20000, "number")
+    return filters.filter_regions(filters.filter_regions(filters.filter_regions(out, "@LENGTH", ">", 10, "number"), "@LENGTH", "!=", 20, "number"), "REST", "==", 0, "number").drop("rest")
+
+
+@query("SELECT gene_id, tag FROM (SELECT gene_id, CASE WHEN start % 2 = 0 THEN 'even' END AS tag FROM genes) WHERE tag IS NULL")
+def p2_missing_differs(spark, sf_dir):
+    g = views.genes(spark, sf_dir).select("gene_id", F.when(F.col("start") % 2 == 0, "even").alias("tag"))
+    return filters.filter_regions(g, "tag", "!=", "even")
+
+
+@query("SELECT chrom, greatest(0, start - 200) AS start, \"end\" FROM b")
+def t1_extend_backward(spark, sf_dir):
+    return transform.extend(views.ranges(spark, sf_dir), 200, "BACKWARD").select("chrom", "start", "end")
+
+
+@query("SELECT chrom, \"end\" + 10 AS start, \"end\" + 40 AS \"end\" FROM b")
+def t2_flank_after(spark, sf_dir):
+    return transform.flank(views.ranges(spark, sf_dir), 10, 30).select("chrom", "start", "end")
+
+
+@query("SELECT 'doc' || doc_id AS chrom, i AS start, i + 2 AS \"end\" FROM (SELECT doc_id, text, unnest(range(0, length(text) - 1)) AS i FROM documents) WHERE substr(text, i + 1, 2) = 'nn'")
+def s6_motif_overlapping(spark, sf_dir):
+    return sequences.find_motif(views.sequences(spark, sf_dir), "nn", overlap=True, longest=2, size=4096)
+
+
+@query(f"""WITH t AS (SELECT DISTINCT chrom, start, "end" FROM b WHERE chrom IN (SELECT chrom FROM a)) SELECT t.chrom, t.start, t."end", {_round_sql('coalesce(var_pop(v), 0) / 1000000')} AS agg_var
+    FROM t LEFT JOIN a ON a.chrom = t.chrom AND a.start < t."end" AND a."end" > t.start CROSS JOIN LATERAL (SELECT {_SHARE} AS v) GROUP BY ALL""")
+def a1_variance(spark, sf_dir):
+    a, b = _ab(spark, sf_dir)
+    out = aggregate.aggregate(a, b.select("chrom", "start", "end").distinct(), "score")
+    return _rounded(out.select("chrom", "start", "end", (F.col("agg_var") / 1_000_000).alias("agg_var")), "agg_var")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS facet, {e} AS value, count(*) AS count FROM datasets GROUP BY 2" for c, e in (("genome", "genome"), ("biosource", "biosource"), ("epigenetic_mark", "epigenetic_mark"), ("project", "project"), ("sample_id", "(dataset_id % 3)::VARCHAR"), ("technique", "content_format"), ("type", "'experiments'"))))
+def a9_all_facets(spark, sf_dir):
+    d = views.datasets(spark, sf_dir)
+    return metadata.facets(d.withColumns({"sample_id": F.col("dataset_id") % 3, "technique": F.col("content_format"), "type": F.lit("experiments")}))
+
+
+@query("SELECT name, greatest(x, y, z) AS max_rank, floor((x + y + z) / 3.0 * 100 + 0.501) / 100 AS mean_rank FROM (SELECT n_name AS name, rank() OVER (ORDER BY n_nationkey DESC) AS x, rank() OVER (ORDER BY n_regionkey DESC) AS y, rank() OVER (ORDER BY n_nationkey % 4 DESC) AS z FROM nation)")
+def e5_max_and_mean_ranks(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    r = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("log_score"), (F.col("n_nationkey") % 4).alias("odds_ratio"))
+    return _rounded(statistics.ranked(r).select("name", F.col("max_rank").cast("long").alias("max_rank"), "mean_rank"), "mean_rank")

@@ -12,9 +12,9 @@ KINDS = ("string", "integer", "double", "range", "category", "calculated")
 
 #: Kinds that a column may be turned into when a data set is cloned.
 COMPATIBLE = {
-    "string": {"string", "category"},
-    "integer": {"string", "integer", "double", "range"},
-    "double": {"string", "double", "range"},
+    "string": {"string"},
+    "integer": {"string", "integer"},
+    "double": {"string", "double"},
     "range": {"string", "double", "range"},
     "category": {"string", "category"},
     "calculated": {"string", "calculated"},
@@ -101,12 +101,15 @@ BUILT_IN = (
 INFERRED = {
     3: "CHROMOSOME,START,END",
     4: "CHROMOSOME,START,END,NAME",
-    5: "CHROMOSOME,START,END,NAME,SCORE",
+    5: "CHROMOSOME,START,END,SCORE,NAME",
     9: "CHROMOSOME,START,END,NAME,SCORE,STRAND,SIGNAL_VALUE,P_VALUE,Q_VALUE",
     10: "CHROMOSOME,START,END,NAME,SCORE,STRAND,SIGNAL_VALUE,P_VALUE,Q_VALUE,PEAK",
     12: "CHROMOSOME,START,END,NAME,SCORE,STRAND,THICK_START,THICK_END,ITEM_RGB,BLOCK_COUNT,BLOCK_SIZES,BLOCK_STARTS",
 }
 
+#: The format of four tokens whose last is a number.
+FOUR_WITH_SCORE = "CHROMOSOME,START,END,SCORE"
+
 OUTPUT = {"CHROMOSOME": "chrom", "START": "start", "END": "end"}
 
 

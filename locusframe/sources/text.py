@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import INFERRED, OUTPUT, Registry
+from ..schema import FOUR_WITH_SCORE, INFERRED, OUTPUT, Registry
 
 _HEADER = r"^(#|track|browser|chr\tstart)"
 
@@ -23,6 +23,14 @@ def lines_of(spark: SparkSession, source: str | list[str] | DataFrame) -> DataFr
     return spark.read.text(source)
 
 
+def _is_number(token: str) -> bool:
+    try:
+        float(token)
+    except ValueError:
+        return False
+    return True
+
+
 def _once(column: Column) -> Column:
     """A column that later expressions refer to and don't repeat."""
     return F.explode(F.array(column))
@@ -42,7 +50,8 @@ def bed(spark: SparkSession, source, format: str | None = None, registry: Regist
         n = len(first["t"]) if first else 3
         if n not in INFERRED:
             raise ValueError(f"no format has {n} columns")
-        format = INFERRED[n]
+        numeric = n == 4 and first is not None and _is_number(first["t"][3])
+        format = FOUR_WITH_SCORE if numeric else INFERRED[n]
     types = registry.format(format)
     stored = [t for t in types if t.kind != "calculated"]
     n = len(stored)

@@ -245,3 +245,25 @@ def test_region_set_is_lazy_and_remembers(spark):
     q = a.extend(2).intersection(RegionSet(regions(spark, [("c", 6, 8)]))).filter("@LENGTH", ">", 1, "number")
     assert q.count() == 1
     assert q.steps == ("extend(2, BOTH)", "intersection", "filter(@LENGTH > 1)")
+
+
+@pytest.mark.parametrize("motif", ["ab", "a+b?", "(ab|ba)+"])
+def test_motifs_in_pieces_as_in_whole(spark, as_rows, motif):
+    draw = random.Random(3)
+    bases = spark.createDataFrame([(f"c{i}", "".join(draw.choice("abc") for _ in range(n))) for i, n in enumerate((0, 1, 50, 1000))] + [("none", None)], "chrom string, bases string")
+    for start, end in ((0, None), (7, 400)):
+        whole = as_rows(sequences.find_motif(bases, motif, start=start, end=end))
+        assert as_rows(sequences.find_motif(bases, motif, start=start, end=end, longest=40, size=50)) == whole
+    assert as_rows(sequences.find_motif(bases, motif, overlap=True)) == as_rows(sequences.find_motif(bases, motif, overlap=True, longest=40, size=64))
+
+
+def test_repeated_regions_and_missing_sequences(spark, as_rows):
+    s = spark.createDataFrame([("c", "abcdefghij")], "chrom string, bases string")
+    r = spark.createDataFrame([("c", 2, 5), ("c", 2, 5), ("c", 8, 20), ("d", 0, 3)], "chrom string, start long, end long")
+    out = as_rows(sequences.with_sequence(r, sequences.chunked(s, 4), 4))
+    assert out == [("c", 2, 5, "cde"), ("c", 2, 5, "cde"), ("c", 8, 20, "ij"), ("d", 0, 3, "")]
+
+
+def test_deep_trees_are_walked_to_the_end(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)] + [("12", "0")], "parent string, child string")
+    assert metadata.descendants(edges, spark.createDataFrame([("0",)], "node string")).count() == 13

@@ -9,12 +9,17 @@ from locusframe.streaming import tiles
 
 
 def test_bed(spark, as_rows):
-    lines = ["# x", "track y", "", "chr1\t1\t5\tn\t2.5", "chr1\t1\t5\tn", "chr1\tx\t5\tn\t1"]
+    lines = ["# x", "track y", "", "chr1\t1\t5\t2.5\tn", "chr1\t1\t5\t1", "chr1\tx\t5\t1\tn"]
     out = text.bed(spark, lines)
     assert as_rows(out.where("error IS NULL"), "chrom", "start", "end", "name", "score") == [("chr1", 1, 5, "n", 2.5)]
     assert out.where("error IS NOT NULL").count() == 2
 
 
+def test_formats_of_four_tokens(spark):
+    assert text.bed(spark, ["chr1\t1\t5\t2.5"]).columns == ["chrom", "start", "end", "score", "error"]
+    assert text.bed(spark, ["chr1\t1\t5\tn1"]).columns == ["chrom", "start", "end", "name", "error"]
+
+
 def test_useless_first_column(spark, as_rows):
     out = text.bed(spark, ["585\tchr1\t10\t20"], "CHROMOSOME,START,END")
     assert as_rows(out, "chrom", "start", "end", "error") == [("chr1", 10, 20, None)]
