@@ -70,7 +70,7 @@ def format_trees(nodes: DataFrame, tree: str = "conv_id", best: int = 1) -> Data
     """
     work = Work(nodes.sparkSession)
     named = nodes.select(tree, "node", "parent", "role", "text", "score")
-    nodes = work.put(named.withColumn("_tree", F.coalesce(F.col(tree).cast("string"), F.lit("null"))), "nodes")
+    nodes = work.put(named.withColumn("_tree", F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("null"))), "nodes")
     longest = nodes.groupBy("_tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     found = paths(nodes, "_tree", longest)
     steps = found.join(nodes, ["_tree", "node"])
