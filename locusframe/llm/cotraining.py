@@ -1,7 +1,7 @@
 """A quality classifier by co-training: a view of the text's content and a view of the page's metadata teach each other.
 
-Each view has a logistic model. In every round each model, calibrated on labelled rows that neither learns from, labels the rows
-of an unlabelled pool that it is surest of, and the other view learns them too. In the end a logistic combination of both calibrated views,
+Each view has a logistic model. In every round each model, calibrated on labelled rows that neither learns from, is asked about all
+rows without a label, on the executors, and the other view learns those that it is surest of. In the end a logistic combination of both calibrated views,
 fitted on the same rows, scores all documents.
 """
 
@@ -11,14 +11,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, RangeHash, arrow_batches, grouped, lowered, text_bytes, word_spans
-from .labelled import one_row_each, sample
+from .common import SPACES, RangeHash, Work, arrow_batches, grouped, lowered, text_bytes, word_spans
+from .labelled import sample
 
-#: Labelled rows of each class and unlabelled rows that the models learn from, at most.
-PER_CLASS, POOL = 2000, 4000
+#: Labelled rows of each class that the models learn from, at most.
+PER_CLASS = 2000
+#: Rounds, the least probability of a pseudo-label, and pseudo-labels that a view hands over in a round.
 ROUNDS, SURE, EACH_ROUND = 5, 0.95, 200
 RIDGE = 1.0
 SOURCES, LANGUAGES = 64, 16
@@ -138,44 +139,40 @@ class View:
 
 
 class Model:
-    """Both views and their combination; without rows of both classes every score is 1."""
+    """Both views and their combination; without rows of both classes every score is 1.
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rate: float):
+    surest(views, taken, counts) gives for each view the unlabelled rows that it is surest of, by id: (label, both views' features). Ids in
+    taken[v] have been handed over by view v before; counts are the most poor and good rows.
+    """
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest, rate: float):
         self.views = None
         learns = np.arange(len(y)) % 4 != 3
         if min(np.bincount(y[learns], minlength=2)[:2].tolist() + np.bincount(y[~learns], minlength=2)[:2].tolist()) < 1:
             return
-        x, pools, self.views = (text, meta), (pool_text, pool_meta), (View(True), View(False))
+        x, self.views = (text, meta), (View(True), View(False))
         balance = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
-        extra: list[dict[int, int]] = [{}, {}]
+        counts = (max(round(EACH_ROUND * (1 - rate)), 1), round(EACH_ROUND * rate))
+        given: list[dict] = [{}, {}]
         self.shared = []
         for _ in range(ROUNDS):
-            self._fit(x, y, balance, learns, pools, extra)
-            new = []
+            self._fit(x, y, balance, learns, given)
+            new = surest(self.views, [set(g) for g in given], counts)
             for v in (0, 1):
-                p = _sigmoid(self.views[v].logit(pools[v])) if len(pools[v]) else np.zeros(0)
-                free = np.array([i not in extra[1 - v] for i in range(len(p))], bool)
-                good = np.flatnonzero(free & (p >= SURE))
-                poor = np.flatnonzero(free & (p <= 1 - SURE))
-                count = EACH_ROUND
-                picked = {int(i): 1 for i in good[np.argsort(-p[good], kind="stable")][: round(count * rate)]}
-                picked |= {int(i): 0 for i in poor[np.argsort(p[poor], kind="stable")][: max(round(count * (1 - rate)), 1)]}
-                new.append(picked)
-            extra[1] |= new[0]
-            extra[0] |= new[1]
+                given[v] |= new[v]
             self.shared.append((len(new[0]), len(new[1])))
             if not new[0] and not new[1]:
                 break
-        self._fit(x, y, balance, learns, pools, extra)
+        self._fit(x, y, balance, learns, given)
         c = ~learns
         both = np.column_stack([v.logit(f[c]) for v, f in zip(self.views, x, strict=True)])
         self.combined = _logistic(both, y[c], balance[c], 0.1)
 
-    def _fit(self, x, y, balance, learns, pools, extra) -> None:
+    def _fit(self, x, y, balance, learns, given) -> None:
         for v, view in enumerate(self.views):
-            more = np.array(list(extra[v]), int)
-            rows = np.concatenate([x[v][learns], pools[v][more]]) if len(more) else x[v][learns]
-            target = np.concatenate([y[learns], list(extra[v].values())])
+            more = [given[1 - v][i] for i in sorted(given[1 - v])]
+            rows = np.concatenate([x[v][learns], [f[v] for _, f in more]]) if more else x[v][learns]
+            target = np.concatenate([y[learns], [label for label, _ in more]])
             weight = np.concatenate([balance[learns], np.full(len(more), 0.5)])
             view.fit(rows, target, weight, x[v][~learns], y[~learns])
 
@@ -186,35 +183,73 @@ class Model:
         return _sigmoid(both @ self.combined[:-1] + self.combined[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: int = POOL, key: str = "doc_id", text: str = "text") -> Model:
-    """A model from at most per_class labelled rows of each class that are not held out, and at most pool rows without a label.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> Model:
+    """A model from at most per_class labelled rows of each class that are not held out, and all rows without a label.
 
-    The classes keep the weights they have among all labels. Nulls in lang, source and n_chars are values, null texts empty.
+    The classes keep the weights they have among all labels. Nulls in lang, source and n_chars are values, null texts empty. Rows with a null
+    key have no label. Unlabelled rows whose features are equal, copies above all, count as one.
     """
-    rows = _featured(sample(docs, labels, "quality", per_class, [text, *META], key), text, key, ("label",))
+    out = _featured(sample(docs, labels, "quality", per_class, [text, *META], key), text, (key, "label")).toPandas()
+    out = out.iloc[sorted(range(len(out)), key=lambda i: (out[key].iloc[i], list(out["_text"].iloc[i])))]
+    views = [np.array(out[c].tolist(), float).reshape(len(out), n) for c, n in (("_text", TEXT_FEATURES), ("_meta", META_FEATURES))]
     rate = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0] or 0.5
-    known = labels.select(F.col(key).alias("_known")).distinct()
-    free = docs.select(key).where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("_known"), "left_anti").distinct()
-    chosen = free.orderBy(F.xxhash64(key), key).limit(pool)
-    more = _featured(one_row_each(docs.select(key, text, *META).join(F.broadcast(chosen), key), key), text, key)
-    return Model(rows[1], rows[2], rows[0]["label"].to_numpy(dtype=int), more[1], more[2], float(rate))
-
-
-def _featured(rows: DataFrame, text: str, key: str, keep: tuple[str, ...] = ()):
-    """Both views' features of a bounded number of rows, in the order of key; texts stay on the executors."""
+    work = Work(docs.sparkSession)
+    model = Model(*views, out["label"].to_numpy(dtype=int), Pool(docs, labels, work, key, text).surest, float(rate))
+    work.keep()
+    return model
+
+
+class Pool:
+    """The features of all rows without a label: a table that is written when it is first asked."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, work: Work, key: str = "doc_id", text: str = "text"):
+        self.docs, self.labels, self.work, self.key, self.text, self.rows = docs, labels, work, key, text, None
+
+    def table(self) -> DataFrame:
+        if self.rows is None:
+            known = self.labels.select(F.col(self.key).alias("_known")).distinct()
+            free = _featured(self.docs, self.text, (self.key,)).join(known, F.col(self.key) == F.col("_known"), "left_anti")
+            once = free.groupBy(F.xxhash64("_text", "_meta").alias("_id")).agg(F.min(F.struct("_text", "_meta")).alias("_f"))
+            self.rows = self.work.put(once.select("_id", "_f.*"), "pool")
+        return self.rows
+
+    def surest(self, views, taken: list[set], counts: tuple[int, int]) -> list[dict]:
+        """Every row is asked; each task sends its surest rows of both views and labels, the surest of those come to the driver."""
+        most = max(counts)
+
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                x = [batch.column(i).flatten().to_numpy().reshape(len(ids), -1) for i in (1, 2)]
+                for v in (0, 1):
+                    p = _sigmoid(views[v].logit(x[v].astype(float)))
+                    p[np.isin(ids, list(taken[v]))] = 0.5
+                    for label, sure in enumerate((1 - p, p)):
+                        at = np.flatnonzero(sure >= SURE)
+                        at = at[np.lexsort((ids[at], -sure[at]))][:most]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(sure[at]), *batch.take(pa.array(at)).columns], ["_view", "_label", "_sure", "_id", "_text", "_meta"])
+
+        rows = self.table().select("_id", "_text", "_meta")
+        found = rows.mapInArrow(run, "_view int, _label int, _sure double, _id long, _text array<float>, _meta array<float>")
+        rank = F.row_number().over(Window.partitionBy("_view", "_label").orderBy(F.desc("_sure"), "_id"))
+        best = found.withColumn("_rank", rank).where(F.col("_rank") <= F.when(F.col("_label") == 1, counts[1]).otherwise(counts[0]))
+        new: list[dict] = [{}, {}]
+        for r in best.where(F.col("_rank") <= most).collect():  # at most 2 * EACH_ROUND rows
+            new[r["_view"]][r["_id"]] = (r["_label"], (np.array(r["_text"]), np.array(r["_meta"])))
+        return new
+
+
+def _featured(rows: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """keep with both views' features, _text and _meta, made on the executors."""
     arrow_batches(rows.sparkSession)
-    names = [key, *keep]
 
     def run(batches):
         for batch in batches:
-            a, b = _texts(batch.column(0)), meta_features(*[batch.column(i).to_pylist() for i in (1, 2, 3)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], [*names, "_text", "_meta"])
+            views = _texts(batch.column(0)), meta_features(*[batch.column(i).to_pylist() for i in (1, 2, 3)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *[pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())) for v in views]], [*keep, "_text", "_meta"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    out = rows.select(text, *META, *names).mapInArrow(run, f"{kinds}, _text array<double>, _meta array<double>").toPandas()
-    out = out.iloc[sorted(range(len(out)), key=lambda i: (out[key].iloc[i], list(out["_text"].iloc[i])))]
-    views = [np.array(out[c].tolist(), float).reshape(len(out), n) for c, n in (("_text", TEXT_FEATURES), ("_meta", META_FEATURES))]
-    return out, *views
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(text, *META, *keep).mapInArrow(run, f"{kinds}, _text array<float>, _meta array<float>")
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -456,7 +456,9 @@ def quality_rows(n=400):
 def test_cotraining(spark, awkward):
     rows, marks = quality_rows()
     d, l = docs(spark, rows, DOC), docs(spark, marks, "doc_id long, quality int")
-    model = cotraining.fit(d, l, per_class=150, pool=80)
+    pool = cotraining.Pool(d.unionByName(d), l, common.Work(spark))
+    assert pool.table().count() == len({r[1:] for r in rows if r[0] % 4 == 0})  # every row without a label, copies once
+    model = cotraining.fit(d, l, per_class=150)
     assert sum(map(sum, model.shared)) > 0
     out = {r["doc_id"]: r["score"] for r in cotraining.score(wide(d).drop("score"), model, keep=("doc_id",)).collect()}
     assert sum((out[i] >= 0.5) == (i % 3 != 0) for i in out) / len(out) > 0.97
