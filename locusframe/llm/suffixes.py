@@ -224,16 +224,16 @@ def _one_by_one(batches):
         docs_, copies, start, n = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
         flat, offsets = text_bytes_of_binary(batch.column(6))
         h, which, t = _strings(flat, offsets[:-1], n.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs_[which]), pa.array(copies[which]), pa.array((start[which] + t).astype(np.int32))], ["h", "doc", "copy", "start"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(h.view(np.int64)), pa.array(docs_[which]), pa.array(copies[which]), pa.array((start[which] + t).astype(np.int32))], ["key", "h", "doc", "copy", "start"])
 
 
 def _edge_spans(contexts: DataFrame) -> DataFrame:
     parts = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     schema = "doc long, copy int, start int, end int"
     few = contexts.where("NOT many").repartition(parts, "key").sortWithinPartitions("key", "doc", "start", "copy").mapInArrow(_compare, schema)
-    strings = contexts.where("many").mapInArrow(_one_by_one, "h long, doc long, copy int, start int")
-    first = strings.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = strings.join(first.select("h", "first"), "h").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    strings = contexts.where("many").mapInArrow(_one_by_one, "key long, h long, doc long, copy int, start int")
+    first = strings.groupBy("key", "h").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = strings.join(first.select("key", "h", "first"), ["key", "h"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     return few.unionByName(later.select("doc", "copy", "start", (F.col("start") + MATCH).alias("end")))
 
 
