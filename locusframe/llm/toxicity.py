@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy, over all overlapping windows.
 
-A word's inputs are of two kinds: the class log-odds of the word itself, and statistics of the log-odds of its character n-grams, with marks at
-its ends, so unseen forms of known stems count. Log-odds are counted in tables of hashed features, on the half of the sample that a text isn't in while
-the network learns. The network sees windows of WINDOW words; a text's score is that of its highest window, calibrated.
+A word's inputs are an embedding of the word, the mean embedding of its character n-grams, with marks at its ends, so unseen forms of known
+stems count, and class log-odds of both. The embeddings are hashed tables that the network learns with its other weights. Log-odds are counted in
+hashed tables too, on the half of the sample that a text isn't in while the network learns. The network sees windows of WINDOW words; a text's score is that of its highest window, calibrated.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ HIDDEN, ATTENTION = 8, 8
 PER_CLASS = 2000
 TABLE_BITS, SMOOTHING, NGRAMS = 17, 3.0, (3, 4, 5, 6)
 EPOCHS, BATCH, RATE = 6, 256, 0.01
+#: The embeddings' share of RATE, and the pull of their values to 0.
+EMBEDDED_RATE, DECAY = 0.1, 0.001
 CHUNK, BLOCK = 1_500_000, 2048
-INPUTS = 7
+#: Log-odds features and numbers of an embedding; rows of the embeddings' tables, in bits.
+ODDS, EMBEDDED, ROW_BITS = 7, 8, 14
+INPUTS = ODDS + 2 * EMBEDDED
 _U = np.uint64
 _INSIDE = np.array([chr(i).isalnum() and i < 128 or i >= 128 for i in range(256)])
 
@@ -30,6 +34,23 @@ def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(64 - TABLE_BITS)).astype(np.int64)
 
 
+class Inputs:
+    """What the network sees of distinct words: log-odds, the place of the word's embedding and those of its counts n-grams, end to end."""
+
+    def __init__(self, odds: np.ndarray, words: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        self.odds, self.words, self.grams, self.counts = odds, words, grams, counts
+
+    def take(self, rows: np.ndarray) -> Inputs:
+        n = self.counts[rows]
+        begin = (np.cumsum(self.counts) - self.counts)[rows]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return Inputs(self.odds[rows], self.words[rows], self.grams[at], n)
+
+    @staticmethod
+    def joined(parts: list[Inputs]) -> Inputs:
+        return Inputs(*[np.concatenate([getattr(x, name) for x in parts]) for name in ("odds", "words", "grams", "counts")])
+
+
 class Words:
     """The words of texts: rows, which distinct word each is, and the distinct words' features."""
 
@@ -61,14 +82,15 @@ class Words:
         self.grams, self.owner = self.grams[order], self.owner[order]
         self.lengths = lengths
 
-    def features(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """Of each distinct word, from the tables of log-odds."""
+    def inputs(self, words: np.ndarray, grams: np.ndarray) -> Inputs:
+        """Of each distinct word, with its log-odds by the tables."""
         n = len(self.words)
-        out = np.zeros((n, INPUTS), np.float32)
+        out = np.zeros((n, ODDS), np.float32)
+        counts = np.bincount(self.owner, minlength=n)  # a marked word has 3 bytes or more, so one n-gram
+        places = [(x >> (TABLE_BITS - ROW_BITS)).astype(np.int32) for x in (self.words, self.grams)]
         if not n:
-            return out
+            return Inputs(out, *places, counts)
         values = grams[self.grams]
-        counts = np.bincount(self.owner, minlength=n)  # a marked word has 3 bytes or more, so one n-gram
         begin = np.cumsum(counts) - counts
         out[:, 0] = words[self.words]
         out[:, 1] = np.maximum.reduceat(values, begin)
@@ -77,7 +99,7 @@ class Words:
         out[:, 4] = np.add.reduceat((values > 1.5).astype(np.float32), begin) / 4
         out[:, 5] = np.minimum(self.lengths, 20) / 10
         out[:, 6] = np.abs(out[:, 0]) > 0.5
-        return out
+        return Inputs(out, *places, counts)
 
 
 class Odds:
@@ -122,18 +144,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Two gated recurrent layers, forwards and backwards, attention over their states, and one output."""
+    """Embeddings, two gated recurrent layers, forwards and backwards, attention over their states, and one output."""
 
     def __init__(self, seed: int = 5):
         draw = np.random.Generator(np.random.PCG64(seed))
         new = lambda *shape: (draw.normal(0, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {"va": new(ATTENTION, 1), "wa": new(2 * HIDDEN, ATTENTION), "ba": np.zeros(ATTENTION, np.float32), "w": new(2 * HIDDEN, 1), "b": np.zeros(1, np.float32)}
+        self.p |= {k: (draw.normal(0, 0.1, (1 << ROW_BITS, EMBEDDED))).astype(np.float32) for k in ("words", "grams")}
         for d in "fb":
             self.p |= {f"x{d}": new(INPUTS, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": new(HIDDEN, 3 * HIDDEN), f"n{d}": np.zeros(HIDDEN, np.float32)}
 
-    def project(self, features: np.ndarray) -> dict[str, np.ndarray]:
+    def features(self, x: Inputs) -> np.ndarray:
+        """The inputs of each distinct word, and zeros for no word at the end."""
+        n = len(x.words)
+        out = np.zeros((n + 1, INPUTS), self.p["words"].dtype)
+        if n:
+            out[:n, :ODDS], out[:n, ODDS : ODDS + EMBEDDED] = x.odds, self.p["words"][x.words]
+            out[:n, ODDS + EMBEDDED :] = np.add.reduceat(self.p["grams"][x.grams], np.cumsum(x.counts) - x.counts) / x.counts[:, None]
+        return out
+
+    def project(self, x: Inputs) -> dict[str, np.ndarray]:
         """The inputs' part of all gates for each distinct word, and for no word at the end."""
-        rows = np.concatenate([features, np.zeros((1, INPUTS), np.float32)])
+        return self._project(self.features(x))
+
+    def _project(self, rows: np.ndarray) -> dict[str, np.ndarray]:
         return {d: rows @ self.p[f"x{d}"] + self.p[f"c{d}"] for d in "fb"}
 
     def states(self, projected, ids: np.ndarray, full: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -167,13 +201,14 @@ class Network:
     def logits(self, projected, ids: np.ndarray, full: np.ndarray) -> np.ndarray:
         return self.pool(self.states(projected, ids, full), full)[0]
 
-    def gradients(self, features: np.ndarray, ids: np.ndarray, full: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: Inputs, ids: np.ndarray, full: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy."""
         p, keep = self.p, []
         used, back = np.unique(ids, return_inverse=True)  # -1, no word, is the last row
-        features, ids = features[used[used >= 0]], back.reshape(ids.shape) - (used[0] < 0)
-        x = np.concatenate([features, np.zeros((1, INPUTS), np.float32)])
-        states = self.states(self.project(features), ids, full, keep)
+        x, ids = x.take(used[used >= 0]), back.reshape(ids.shape) - (used[0] < 0)
+        ids = np.where(ids < 0, len(x.words), ids)
+        rows = self.features(x)
+        states = self.states(self._project(rows), ids, full, keep)
         logit, pooled, alpha, a = self.pool(states, full)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         dl = ((_sigmoid(logit) - y) / len(y)).astype(np.float32)
@@ -187,22 +222,33 @@ class Network:
         g["wa"], g["ba"] = np.einsum("tnh,tna->ha", states, du), du.sum(axis=(0, 1))
         ds += du @ p["wa"].T
         dh = {d: np.zeros((len(y), HIDDEN), np.float32) for d in "fb"}
+        of_gates = {d: np.zeros((*ids.T.shape, 3 * HIDDEN), rows.dtype) for d in "fb"}
         for d, t, h, z, r, inner, cand in reversed(keep):
             out = dh[d] + ds[t][:, slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)]
             live = np.where(full[:, t, None], out, 0)
             dc = live * (1 - z) * (1 - cand * cand)
             dz = live * (h - cand) * z * (1 - z)
             dr = dc * inner * r * (1 - r)
-            gates = np.concatenate([dz, dr, dc], axis=1)
+            of_gates[d][t] = np.concatenate([dz, dr, dc], axis=1)
             back = np.concatenate([dz, dr, dc * r], axis=1)
             g[f"u{d}"] += h.T @ back
             g[f"n{d}"] += back[:, 2 * HIDDEN :].sum(axis=0)
-            g[f"x{d}"] += x[ids[:, t]].T @ gates
-            g[f"c{d}"] += gates.sum(axis=0)
             dh[d] = np.where(full[:, t, None], live * z + back @ p[f"u{d}"].T, out)
+        order = np.argsort(ids.T, axis=None, kind="stable")
+        which, begin = np.unique(ids.T.ravel()[order], return_index=True)
+        dx = np.zeros_like(rows)
+        for d in "fb":
+            by_word = np.add.reduceat(of_gates[d].reshape(-1, 3 * HIDDEN)[order], begin)
+            g[f"x{d}"], g[f"c{d}"] = rows[which].T @ by_word, by_word.sum(axis=0)
+            dx[which] += by_word @ p[f"x{d}"].T
+        n = len(x.words)
+        grams = np.repeat(dx[:n, ODDS + EMBEDDED :] / x.counts[:, None], x.counts, axis=0)
+        for i in range(EMBEDDED):
+            g["words"][:, i] = np.bincount(x.words, dx[:n, ODDS + i], 1 << ROW_BITS)
+            g["grams"][:, i] = np.bincount(x.grams, grams[:, i], 1 << ROW_BITS)
         return g
 
-    def fit(self, features: np.ndarray, ids: np.ndarray, full: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> None:
+    def fit(self, x: Inputs, ids: np.ndarray, full: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> None:
         draw = np.random.Generator(np.random.PCG64(seed))
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
@@ -211,11 +257,14 @@ class Network:
             for k in range(0, len(y), BATCH):
                 part = order[k : k + BATCH]
                 step += 1
-                for name, grad in self.gradients(features, ids[part], full[part], y[part]).items():
+                for name, grad in self.gradients(x, ids[part], full[part], y[part]).items():
                     a, b = m[name]
                     a += 0.1 * (grad - a)
                     b += 0.001 * (grad * grad - b)
-                    self.p[name] -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-7)
+                    move = (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-7)
+                    if name in ("words", "grams"):
+                        move = EMBEDDED_RATE * (move + DECAY / RATE * self.p[name])
+                    self.p[name] -= RATE * move
 
 
 def _ids(w: Words, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,15 +293,15 @@ class Model:
         both.words, both.grams, both.texts = (sum(getattr(o, name) for o in odds) for name in ("words", "grams", "texts"))
         self.words, self.grams = both.tables()
         draw = np.random.Generator(np.random.PCG64(seed))
-        features, ids, full, target, size = [], [], [], [], 0
+        inputs, ids, full, target, size = [], [], [], [], 0
         learns = np.arange(len(y)) % 5 != 4  # the others calibrate
         for i in np.flatnonzero(learns):
             w = words(i)
             begin, length, _ = windows(w.count)
             if not len(begin):
                 continue
-            f = w.features(*tables[1 - fold[i]])
-            value = np.concatenate([f[:, 1], [0]])
+            x = w.inputs(*tables[1 - fold[i]])
+            value = np.concatenate([x.odds[:, 1], [0]])
             a, b = _ids(w, begin, length)
             top = np.argsort(-value[a].max(axis=1) - 0.1 * np.maximum(value[a], 0).sum(axis=1), kind="stable")[: 2 if len(a) > 1 else 1]
             if not y[i]:
@@ -262,11 +311,11 @@ class Model:
             mine[b[top]] = back + size
             ids.append(mine)
             full.append(b[top])
-            features.append(f[used])
+            inputs.append(x.take(used))
             target += [y[i]] * len(top)
             size += len(used)
         self.network = Network()
-        self.network.fit(np.concatenate(features), np.concatenate(ids), np.concatenate(full), np.array(target, np.float32))
+        self.network.fit(Inputs.joined(inputs), np.concatenate(ids), np.concatenate(full), np.array(target, np.float32))
         rest = np.flatnonzero(~learns)
         scores = np.array([self._highest(words(i), tables[1 - fold[i]])[0] for i in rest])
         self._calibrate(scores, y[rest])
@@ -289,7 +338,7 @@ class Model:
         """The highest logit of each text's windows; a text without words has -20."""
         out = np.full(len(w.count), -20.0, np.float32)
         begin, length, row = windows(w.count)
-        projected = self.network.project(w.features(*tables))
+        projected = self.network.project(w.inputs(*tables))
         for k in range(0, len(begin), BLOCK):
             ids, full = _ids(w, begin[k : k + BLOCK], length[k : k + BLOCK])
             np.maximum.at(out, row[k : k + BLOCK], self.network.logits(projected, ids, full))

@@ -473,19 +473,21 @@ def test_gradients():
     draw = np.random.default_rng(2)
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    features = draw.normal(size=(9, toxicity.INPUTS)).astype(np.float32)
+    counts = draw.integers(1, 5, 9)
+    x = toxicity.Inputs(draw.normal(size=(9, toxicity.ODDS)), draw.integers(0, 4, 9), draw.integers(0, 4, counts.sum()), counts)
     ids = draw.integers(0, 9, (5, toxicity.WINDOW))
     full = np.arange(toxicity.WINDOW) < draw.integers(1, 7, 5)[:, None]
     ids = np.where(full, ids, -1)
     y = np.array([0, 1, 1, 0, 1.0])
 
     def loss():
-        p = toxicity._sigmoid(net.logits(net.project(features), np.where(ids < 0, 9, ids), full))
+        p = toxicity._sigmoid(net.logits(net.project(x), np.where(ids < 0, 9, ids), full))
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
-    g = net.gradients(features, ids, full, y)
+    g = net.gradients(x, ids, full, y)
+    assert np.abs(g["words"][:4]).max() > 0 and np.abs(g["grams"][:4]).max() > 0
     for name in net.p:
-        at = tuple(draw.integers(0, s) for s in net.p[name].shape)
+        at = tuple(draw.integers(0, 4 if name in ("words", "grams") and not k else s) for k, s in enumerate(net.p[name].shape))
         old = net.p[name][at]
         net.p[name][at] = old + 1e-3
         up = loss()
@@ -495,6 +497,19 @@ def test_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-3, abs=2e-4), name
 
 
+def test_the_network_learns_its_embeddings():
+    draw = np.random.default_rng(4)
+    bad, n = 5, 60  # the first words are bad; no log-odds say so
+    x = toxicity.Inputs(np.zeros((n, toxicity.ODDS), np.float32), np.arange(n), np.arange(100, 100 + n), np.ones(n, int))
+    ids = draw.integers(bad, n, (1200, toxicity.WINDOW))
+    y = (np.arange(1200) % 2).astype(np.float32)
+    ids[y == 1, draw.integers(0, toxicity.WINDOW, 600)] = draw.integers(0, bad, 600)
+    full = np.ones(ids.shape, bool)
+    net = toxicity.Network()
+    net.fit(x, ids[:1000], full[:1000], y[:1000], epochs=60)
+    assert ((net.logits(net.project(x), ids[1000:], full[1000:]) > 0) == (y[1000:] == 1)).mean() > 0.95
+
+
 def test_windows_overlap_and_cover():
     begin, length, row = toxicity.windows(np.array([0, 1, 32, 33, 100]))
     assert row.tolist() == [1, 2, 3, 3, 4, 4, 4, 4, 4, 4][: len(row)] and set(row) == {1, 2, 3, 4}
