@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import interval
@@ -44,16 +44,40 @@ def _values(ranges: DataFrame, data: DataFrame, column: str, *more: str) -> Data
     return met.withColumn("_v", F.when(width > 0, F.col("r__value") * shared / width).otherwise(F.col("r__value")))
 
 
+def _statistics(values: DataFrame, *by: str) -> DataFrame:
+    """agg_min, max, sum, median, mean, var, sd and count of _v for each group.
+
+    Equal values of a group are counted before they are put in order, so an order holds each value once and is sorted on disk if it must be; no
+    group is held in a buffer.
+    """
+    times = values.where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(*by).orderBy("_v")
+    before, whole = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = times.withColumns({"_to": F.sum("_n").over(before), "_all": F.sum("_n").over(whole), "_sum": F.sum(F.col("_v") * F.col("_n")).over(whole)})
+    off = F.col("_v") - F.col("_sum") / F.col("_all")
+    var = F.sum(off * off * F.col("_n")) / F.first("_all")
+    out = {
+        "min": F.min("_v"),
+        "max": F.max("_v"),
+        "sum": F.first("_sum"),
+        "median": F.min(F.when(F.col("_to") > F.floor(F.col("_all") / 2), F.col("_v"))),
+        "mean": F.first(F.col("_sum") / F.col("_all")),
+        "var": var,
+        "sd": F.sqrt(var),
+        "count": F.first("_all"),
+    }
+    return seen.groupBy(*by).agg(*[v.alias(f"agg_{name}") for name, v in out.items()])
+
+
 def aggregate(data: DataFrame, ranges: DataFrame, column: str, keep_empty_chrom: bool = False) -> DataFrame:
     """ranges with agg_min, max, sum, median, mean, var, sd and count of column over the overlapping data; zeros where there is none.
 
     Chromosomes without data give no rows, unless keep_empty_chrom.
     """
-    names = ("min", "max", "sum", "median", "mean", "var", "sd", "count")
-    found = _values(ranges, data, column).groupBy("chrom", "start", "end").agg(*[FUNCTIONS[n]("_v").alias(f"agg_{n}") for n in names])
+    found = _statistics(_values(ranges, data, column), "chrom", "start", "end")
     if not keep_empty_chrom:
         ranges = ranges.join(data.select("chrom").distinct(), "chrom", "left_semi")
-    return ranges.join(found, ["chrom", "start", "end"], "left").fillna(0, [f"agg_{n}" for n in names])
+    return ranges.join(found, ["chrom", "start", "end"], "left").fillna(0, [c for c in found.columns if c.startswith("agg_")])
 
 
 def score_matrix(data: DataFrame, ranges: DataFrame, experiments: dict[str, str], function: str = "mean", name: str = "experiment") -> DataFrame:
@@ -63,15 +87,18 @@ def score_matrix(data: DataFrame, ranges: DataFrame, experiments: dict[str, str]
     """
     if function not in FUNCTIONS:
         raise ValueError(f"function is one of {', '.join(FUNCTIONS)}")
-    out = ranges.select("chrom", "start", "end").distinct()
+    place = ["chrom", "start", "end"]
+    out = ranges.select(*place).distinct()
     by: dict[str, list[str]] = {}
     for e, c in experiments.items():
         by.setdefault(c, []).append(e)
     for column, some in by.items():
         values = _values(out, data.where(F.col(name).isin(*some)), column, name)
-        wide = values.groupBy("chrom", "start", "end").pivot(f"r_{name}", some).agg(FUNCTIONS[function]("_v"))
-        out = out.join(wide, ["chrom", "start", "end"], "left")
-    return out.select("chrom", "start", "end", *experiments)
+        result = FUNCTIONS[function]("_v")
+        if function == "median":
+            values, result = _statistics(values, *place, f"r_{name}"), F.first("agg_median")
+        out = out.join(values.groupBy(*place).pivot(f"r_{name}", some).agg(result), place, "left")
+    return out.select(*place, *experiments)
 
 
 def count_regions(data: DataFrame) -> DataFrame:

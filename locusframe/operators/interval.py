@@ -24,20 +24,20 @@ def _level(levels: tuple[int, ...]) -> Column:
     return out
 
 
-def _present(df: DataFrame, levels: tuple[int, ...]) -> list[int]:
-    """Levels that occur: at most len(levels) numbers."""
-    return sorted(r[0] for r in df.select(_level(levels).alias("l")).distinct().collect())
+def _present(df: DataFrame, levels: tuple[int, ...]) -> Column:
+    """The levels that occur, as bits of a number, by a subquery: nothing is looked at before the result is asked for."""
+    bits = F.array(*[F.lit(1 << i) for i in range(len(levels))])
+    return df.agg(F.bit_or(F.get(bits, _level(levels))).alias("levels")).scalar()
 
 
-def _binned(df: DataFrame, levels: tuple[int, ...], own: list[int], other: list[int]) -> DataFrame:
+def _binned(df: DataFrame, levels: tuple[int, ...], other: Column) -> DataFrame:
     """A row for each bin in which the region can meet one of the other side."""
-    meet = sorted(set(own) | set(other))
     df = df.withColumn("_own", _level(levels))
     bins = []
-    for i in meet:
-        b = F.sequence(F.floor(F.col("start") / levels[i]), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / levels[i]))
-        # at a level of its own a region meets those of lower levels; at higher ones only those of that level
-        useful = (F.col("_own") == i) if i not in other else (F.col("_own") <= i)
+    for i, width in enumerate(levels):
+        b = F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))
+        # at a level of the other side a region meets all that are as wide or wider than itself; at one of its own side only, those of lower levels
+        useful = F.when(other.bitwiseAND(1 << i) != 0, F.col("_own") <= i).otherwise(F.col("_own") == i)
         bins.append(F.when(useful, F.transform(b, lambda x: F.struct(F.lit(i).alias("level"), x.alias("bin")))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>")))
     return df.withColumn("_at", F.explode(F.concat(*bins))).select("*", F.col("_at.level").alias("_level"), F.col("_at.bin").alias("_bin")).drop("_at")
 
@@ -48,11 +48,12 @@ def pairs(left: DataFrame, right: DataFrame, prefix: str = "r_", levels: tuple[i
     Repeated regions give repeated pairs. single_level skips the look at the widths that occur and puts all regions into bins of the first level.
     """
     if single_level:
-        levels, a, b = levels[:1], [0], [0]
+        levels = levels[:1]
+        a = b = F.lit(1)
     else:
         a, b = _present(left, levels), _present(right, levels)
-    l = _binned(left, levels, a, b)
-    r = _binned(right, levels, b, a)
+    l = _binned(left, levels, b)
+    r = _binned(right, levels, a)
     r = r.select(*[F.col(c).alias(c if c in ("chrom", "_level", "_bin") else f"{prefix}{c}") for c in r.columns])
     joined = l.join(r, ["chrom", "_level", "_bin"])
     s, e = F.col(f"{prefix}start"), F.col(f"{prefix}end")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,31 @@ def test_region_set_is_lazy_and_remembers(spark):
     assert q.steps == ("extend(2, BOTH)", "intersection", "filter(@LENGTH > 1)")
 
 
+def test_no_job_runs_while_a_join_is_built(spark):
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        data = regions(spark, [("c", 1, 5, 1.0)], ", value double")
+        ranges = regions(spark, [("c", 0, 10), ("c", 0, 100_000)])
+        made = [interval.pairs(data, ranges), aggregate.aggregate(data, ranges, "value"), interval.overlap(data, ranges, amount=2)]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+        assert [d.count() for d in made] == [2, 2, 1]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_statistics_are_those_of_all_values(spark):
+    draw = random.Random(11)
+    values = [draw.choice([-1.5, 0.0, 2.0, 2.25, 7.0, 1e6 + draw.random()]) for _ in range(301)]
+    data = regions(spark, [("c", i % 90, i % 90 + 10, v) for i, v in enumerate(values)] + [("c", 5, 9, None)], ", value double")
+    r = aggregate.aggregate(data, regions(spark, [("c", 0, 100)]), "value").first()
+    ordered = sorted(values)
+    assert (r["agg_min"], r["agg_max"], r["agg_median"], r["agg_count"]) == (ordered[0], ordered[-1], ordered[150], 301)
+    assert r["agg_mean"] == pytest.approx(np.mean(values)) and r["agg_sum"] == pytest.approx(sum(values))
+    assert r["agg_var"] == pytest.approx(np.var(values)) and r["agg_sd"] == pytest.approx(np.std(values))
+    wide = aggregate.score_matrix(data.withColumn("experiment", F.lit("e")), regions(spark, [("c", 0, 100), ("d", 0, 9)]), {"e": "value"}, "median")
+    assert {(x["chrom"], x["e"]) for x in wide.collect()} == {("c", ordered[150]), ("d", None)}
+
+
 @pytest.mark.parametrize("motif", ["ab", "a+b?", "(ab|ba)+"])
 def test_motifs_in_pieces_as_in_whole(spark, as_rows, motif):
     draw = random.Random(3)
