@@ -36,7 +36,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: float | None = None,
 
     A null key counts as the key 'null'; repeated keys share a shard and get slots of their own. Null texts have only the
     overhead as size and the checksum of the empty text. An empty table gives no rows. Columns of docs beyond key and text
-    are not read, so their names cannot clash. Slots are numbered within (shard, part of the key's hash), then shifted by
+    are not read, so their names cannot clash. Slots are numbered within (shard, part by the hash of key and text, so rows of one key are many parts), then shifted by
     the number of rows in the parts before: no task orders a whole shard, and the joined offsets have at most
     len(weights) * parts rows, whatever the input.
     """
@@ -49,7 +49,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: float | None = None,
         F.lit("key").alias("law"),
         shard_of(name, weights).alias("shard"),
         (shard_of(name, [*weights, grown]) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("_part"),
+        F.pmod(F.xxhash64(name, body), F.lit(parts)).cast("int").alias("_part"),
     )
     counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     # at most len(weights) * parts numbers: one array of parts for each shard, summed from the left
